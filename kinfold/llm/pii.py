@@ -96,9 +96,7 @@ def _date(m: str, key: str) -> str:
     first_of = "make_date(year(d) div 100 * 100, 1, 1)"
     leap = "year(d) div 100 % 4 = 0"
     moved = feistel_number(f"datediff(d, {first_of})", f"if({leap}, 75L, 92L)", f"if({leap}, 487L, 397L)", f"concat({key}, 'date', year(d) div 100)")
-    form = f"if({iso}, 'yyyy-MM-dd', if({m} like '%/%', 'dd/MM/yyyy', 'dd.MM.yyyy'))"
     written = f"case when {iso} then date_format(e, 'yyyy-MM-dd') when {m} like '%/%' then date_format(e, 'dd/MM/yyyy') else date_format(e, 'dd.MM.yyyy') end"
-    del form
     return _let(day, "d", f"if(d is null or year(d) < 1, {m}, {_let(f'date_add({first_of}, cast({moved} as int))', 'e', written)})")
 
 
@@ -136,6 +134,13 @@ def _iban(m: str, key: str) -> str:
     return f"if({valid}, {_let(moved, 'p', f'''concat(substr({m}, 1, 2), lpad(98 - {zero}, 2, '0'), p)''')}, {m})"
 
 
+def _email(m: str, key: str) -> str:
+    """The part before the sign is lower-cased and permuted, apart for each domain."""
+    name, domain = f"substring_index(lower({m}), '@', 1)", f"substring_index({m}, '@', -1)"
+    tweak = f"concat({key}, 'email', lower({domain}))"
+    return f"concat({feistel_string(name, tweak)}, '@', {domain})"
+
+
 def _kinds(m: str) -> list[tuple[str, str]]:
     return [
         ("email", f"{m} like '%@%'"),
@@ -151,7 +156,7 @@ def _kinds(m: str) -> list[tuple[str, str]]:
 
 def pseudonym_sql(m: str, key: str) -> str:
     made = {
-        "email": f"concat({feistel_string('''substring_index(lower(m), '@', 1)''', f'''concat({key}, 'email', substring_index(lower(m), '@', -1))''')}, '@', substring_index(m, '@', -1))".replace("(m)", f"({m})").replace("(m,", f"({m},"),
+        "email": _email(m, key),
         "iban": _iban(m, key),
         "ip": _ip(m, key),
         "date": _date(m, key),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinfold.llm import licenses, media
+from kinfold.llm import licenses, media, mixing, pii
 
 
 def queries() -> dict:
     return {
         "op1_matroska": media.op1_matroska,
+        "op4_pseudonyms": pii.op4_pseudonyms,
         "op7_licenses": licenses.op7_licenses,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
