@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from kinfold.llm import licenses, media, mixing, pii
+from kinfold.llm import langid, licenses, media, mixing, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_matroska": media.op1_matroska,
+        "op2_language": langid.op2_language,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_pseudonyms": pii.op4_pseudonyms,
         "op7_licenses": licenses.op7_licenses,
         "op9_mixing": mixing.op9_mixing,
