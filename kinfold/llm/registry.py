@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import langid, licenses, media, mixing, pii, toxicity
+from kinfold.llm import chat, knn, langid, licenses, media, mixing, pii, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_language": langid.op2_language,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_pseudonyms": pii.op4_pseudonyms,
+        "op5_chat": chat.op5_chat,
         "op7_licenses": licenses.op7_licenses,
+        "op8_top_k": knn.op8_top_k,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": chat.OP5_SQL, "op8_top_k": knn.OP8_SQL}
