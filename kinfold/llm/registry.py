@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat, knn, langid, licenses, media, mixing, pii, toxicity
+from kinfold.llm import chat, knn, langid, licenses, media, mixing, packing, pii, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_licenses": licenses.op7_licenses,
         "op8_top_k": knn.op8_top_k,
         "op9_mixing": mixing.op9_mixing,
+        "op10_packing": packing.op10_packing,
     }
 
 
