@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat, knn, langid, licenses, media, mixing, packing, pii, toxicity
+from kinfold.llm import chat, jaccard, knn, langid, licenses, media, mixing, packing, pii, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_pseudonyms": pii.op4_pseudonyms,
         "op5_chat": chat.op5_chat,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_licenses": licenses.op7_licenses,
         "op8_top_k": knn.op8_top_k,
         "op9_mixing": mixing.op9_mixing,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.OP5_SQL, "op8_top_k": knn.OP8_SQL}
+    return {"op5_chat": chat.OP5_SQL, "op6_jaccard_join": jaccard.OP6_SQL, "op8_top_k": knn.OP8_SQL}
