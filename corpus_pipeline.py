@@ -1,10 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and reread before the next.
+
+Toxic documents go, one document of each near-copy class stays, personal data become pseudonyms, sources are mixed
+to their target weights, and the rest is packed into sequences of tokens.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.llm import jaccard, mixing, packing, pii, toxicity
+from kinfold.plans.runtime import ensure_checkpoint_dir, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from the labelled documents of this input."""
+    model = toxicity.trained(spark, sf_dir, docs)
+    return toxicity.keep_accepted(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of the n-gram Jaccard join."""
+    return jaccard.keep_one(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms in their texts."""
+    out = pii.pseudonymize(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.apply_mix(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
+
+# Trained weights, hashes and token ids are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage leaves is kept as a table in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{base}/{i}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
