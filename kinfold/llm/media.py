@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.llm._text import texts_as_bytes
 from kinfold.plans.runtime import table
@@ -252,7 +253,7 @@ def pad(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % MULTIPLE or MULTIPLE * (not raw))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _mux_texts(text):
     import pandas as pd
 
