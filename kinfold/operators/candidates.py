@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinfold.plans.runtime import cut_lineage
+from kinfold.plans.runtime import cut_lineage, fresh
 
 DEFAULT_WINDOW = 10
 
@@ -161,41 +161,46 @@ def online_sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id"
         first = {r[0]: r[1] for r in indexed.groupBy("part").agg(F.min("arrival")).collect()}
         below = lambda q: min((v for k, v in first.items() if k < q), default=float("inf"))
         above = lambda q: min((v for k, v in first.items() if k > q), default=float("inf"))
-        earliest = {q: (above(q), below(q)) for q in first}
-
-        def summary(pdf: pd.DataFrame, earliest=earliest, half=half) -> pd.DataFrame:
-            rows = list(zip(pdf["group"].tolist(), pdf["arrival"].tolist(), pdf["id"].tolist(), strict=True))
-            q = int(pdf["part"].iloc[0])
-            up = _needed(sorted(rows, key=lambda r: (-r[0], r[1])), half, earliest[q][0])
-            down = _needed(sorted(rows, key=lambda r: (r[0], r[1])), half, earliest[q][1])
-            out = [(q, "up", *r) for r in up] + [(q, "down", *r) for r in down]
-            return pd.DataFrame(out, columns=["part", "way", "group", "arrival", "id"])
-
-        def carried(pdf: pd.DataFrame, earliest=earliest, half=half) -> pd.DataFrame:
-            way = pdf["way"].iloc[0]
-            by: dict[int, list] = {}
-            for r in pdf.itertuples(index=False):
-                by.setdefault(r.part, []).append((r.group, r.arrival, r.id))
-            out, held, last = [], [], None
-            for q in sorted(earliest, reverse=way == "down"):
-                if last is not None:
-                    near = sorted(by.get(last, []), key=lambda r: (-r[0] if way == "up" else r[0], r[1]))
-                    held = _needed(near + held, half, earliest[last][0 if way == "up" else 1])
-                    out += [(q, *r) for r in held]
-                last = q
-            return pd.DataFrame(out, columns=["part", "group", "arrival", "id"])
-
-        def answer(pdf: pd.DataFrame, more: pd.DataFrame, half=half) -> pd.DataFrame:
-            rows = [t for d in (pdf, more) for t in zip(d["group"].tolist(), d["arrival"].tolist(), d["id"].tolist(), strict=True)]
-            return pd.DataFrame(_neighbours(rows, set(pdf["id"].tolist()), half), columns=["left_id", "right_id"])
-
+        summary, carried, answer = _range_functions({q: (above(q), below(q)) for q in first}, half)
         shape = f"part int, group long, arrival long, id {kind}"
         summaries = indexed.groupBy("part").applyInPandas(summary, f"part int, way string, group long, arrival long, id {kind}")
         carries = cut_lineage(summaries.groupBy("way").applyInPandas(carried, shape))
-        found.append(indexed.groupBy("part").cogroup(carries.groupBy("part")).applyInPandas(answer, f"left_id {kind}, right_id {kind}"))
+        mine, theirs = fresh(indexed), fresh(carries)
+        found.append(mine.groupBy("part").cogroup(theirs.groupBy("part")).applyInPandas(answer, f"left_id {kind}, right_id {kind}"))
     return _union(found)
 
 
+def _range_functions(earliest: dict[int, tuple[float, float]], half: int):
+    """What a range hands on, how that is carried to the ranges beyond, and the answers of a range."""
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(pdf["group"].tolist(), pdf["arrival"].tolist(), pdf["id"].tolist(), strict=True))
+        q = int(pdf["part"].iloc[0])
+        up = _needed(sorted(rows, key=lambda r: (-r[0], r[1])), half, earliest[q][0])
+        down = _needed(sorted(rows, key=lambda r: (r[0], r[1])), half, earliest[q][1])
+        out = [(q, "up", *r) for r in up] + [(q, "down", *r) for r in down]
+        return pd.DataFrame(out, columns=["part", "way", "group", "arrival", "id"])
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        way = pdf["way"].iloc[0]
+        by: dict[int, list] = {}
+        for r in pdf.itertuples(index=False):
+            by.setdefault(r.part, []).append((r.group, r.arrival, r.id))
+        out, held, last = [], [], None
+        for q in sorted(earliest, reverse=way == "down"):
+            if last is not None:
+                near = sorted(by.get(last, []), key=lambda r: (-r[0] if way == "up" else r[0], r[1]))
+                held = _needed(near + held, half, earliest[last][0 if way == "up" else 1])
+                out += [(q, *r) for r in held]
+            last = q
+        return pd.DataFrame(out, columns=["part", "group", "arrival", "id"])
+
+    def answer(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        rows = [t for d in (pdf, more) for t in zip(d["group"].tolist(), d["arrival"].tolist(), d["id"].tolist(), strict=True)]
+        return pd.DataFrame(_neighbours(rows, set(pdf["id"].tolist()), half), columns=["left_id", "right_id"])
+
+    return summary, carried, answer
+
+
 def with_records(pairs: DataFrame, records: DataFrame, id_col: str = "id", columns: Sequence[str] | None = None) -> DataFrame:
     """(left_id, right_id, left, right) with the records (or the columns that are compared) as structs."""
     picked = F.struct(*(columns or records.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.candidates import global_rank
 from kinfold.operators.classify import DUPLICATE
 from kinfold.operators.components import connected_components
-from kinfold.plans.runtime import cut_lineage
+from kinfold.plans.runtime import cut_lineage, fresh
 
 MAX_SMALL = 10
 
@@ -187,7 +187,7 @@ def pairs_to_score(clusters: DataFrame, known: DataFrame, max_small: int = MAX_S
         return pd.DataFrame([(pdf["cluster_id"].iloc[0], ids[x], ids[y]) for x, y in out], columns=["cluster_id", "left_id", "right_id"])
 
     cid = clusters.schema["cluster_id"].dataType.simpleString()
-    grown = large.groupBy("cluster_id").cogroup(inside.groupBy("cluster_id")).applyInPandas(expand, f"cluster_id {cid}, left_id {kind}, right_id {kind}")
+    grown = fresh(large).groupBy("cluster_id").cogroup(fresh(inside).groupBy("cluster_id")).applyInPandas(expand, f"cluster_id {cid}, left_id {kind}, right_id {kind}")
     both = known.select("left_id", "right_id").union(known.select("right_id", "left_id")).distinct()
     return every.union(grown).join(both, ["left_id", "right_id"], "left_anti").select("cluster_id", "left_id", "right_id")
 
@@ -198,7 +198,7 @@ def refine(clusters: DataFrame, classified: DataFrame, max_small: int = MAX_SMAL
     ``classified`` (left_id, right_id, result) holds the known results and those of ``pairs_to_score``. Clusters of up
     to two records stay, of up to ``max_small`` are searched exhaustively, larger ones greedily.
     """
-    kind, cid = clusters.schema["record_id"].dataType.simpleString(), clusters.schema["cluster_id"].dataType.simpleString()
+    kind = clusters.schema["record_id"].dataType.simpleString()
     side = clusters.select(F.col("record_id"), "cluster_id")
     e = classified.select("left_id", "right_id", "result.classification", "result.confidence")
     e = e.join(side.withColumnsRenamed({"record_id": "left_id"}), "left_id").join(side.withColumnsRenamed({"record_id": "right_id", "cluster_id": "_c"}), "right_id").where("cluster_id = _c").drop("_c")
@@ -217,7 +217,7 @@ def refine(clusters: DataFrame, classified: DataFrame, max_small: int = MAX_SMAL
             first.setdefault(l, x)
         return pd.DataFrame({"cluster_id": [first[l] for l in label], "record_id": ids})
 
-    return clusters.groupBy("cluster_id").cogroup(e.groupBy("cluster_id")).applyInPandas(split, f"cluster_id {kind}, record_id {kind}") if cid else clusters
+    return fresh(clusters).groupBy("cluster_id").cogroup(fresh(e).groupBy("cluster_id")).applyInPandas(split, f"cluster_id {kind}, record_id {kind}")
 
 
 def refined_transitive_closure(classified: DataFrame, classify_pairs, previous: DataFrame | None = None, max_small: int = MAX_SMALL) -> DataFrame:

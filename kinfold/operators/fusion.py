@@ -280,8 +280,7 @@ class Merge:
         for f in self.fields:
             read = f.read or (lambda r, n=f.name: r.getField(n))
             kind = schema[f.name].dataType.simpleString() if f.read is None else ""
-            vals = F.transform(cluster, lambda e, read=read: entry(read(e["record"]), e["source"], e["weight"], e["ts"]))
-            vals = F.filter(vals, lambda v, kind=kind: is_non_empty(v["value"], kind))
+            vals = _read(cluster, read, kind)
             for r in f.resolutions:
                 vals = r.run(vals, ctx)
             if f.tag:
@@ -292,6 +291,11 @@ class Merge:
         return out, errors
 
 
+def _read(cluster: Column, read: Callable[[Column], Column], kind: str) -> Column:
+    vals = F.transform(cluster, lambda e: entry(read(e["record"]), e["source"], e["weight"], e["ts"]))
+    return F.filter(vals, lambda v: is_non_empty(v["value"], kind))
+
+
 def merge() -> Merge:
     return Merge()
 

@@ -31,3 +31,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` with new column identities, for joins and cogroups of tables that come from one."""
+    return df.toDF(*df.columns)
