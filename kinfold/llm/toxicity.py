@@ -145,7 +145,8 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list, epochs: int = EPOC
         "bias": model["bias"], "out": model["out"], "shift": float(model["shift"]),
     }
     held = held if len(held) >= 10 else order
-    logit, truth = forward(model, [docs[i] for i in held])[0], y[held]
+    logit = np.concatenate([forward(model, [docs[i] for i in held[s : s + BATCH]])[0] for s in range(0, len(held), BATCH)])
+    truth = y[held]
     share = float(truth.mean()) if 0 < truth.mean() < 1 else 0.5
     real = share if prior is None else min(max(prior, 1e-6), 1 - 1e-6)
     weight = np.where(truth == 1, real / share, (1 - real) / (1 - share))
