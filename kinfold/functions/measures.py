@@ -204,7 +204,7 @@ def jaro_winkler_score(a: str, b: str) -> float:
     m = len(first)
     if not m:
         return 0.0
-    half = sum(x != y for x, y in zip(first, (long[j] for j in range(len(long)) if used[j]), strict=True)) // 2
+    half = sum(x != y for x, y in zip(first, (long[j] for j in range(len(long)) if used[j]), strict=True)) / 2
     jaro = (m / len(a) + m / len(b) + (m - half) / m) / 3
     if jaro < 0.7:
         return jaro
@@ -213,7 +213,7 @@ def jaro_winkler_score(a: str, b: str) -> float:
         if x != y:
             break
         prefix += 1
-    return jaro + min(0.1, 1 / len(long)) * prefix * (1 - jaro)
+    return jaro + 0.1 * prefix * (1 - jaro)
 
 
 def _pairwise(python: Callable[[Any, Any], Score], name: str) -> Callable[[Column, Column], Column]:
@@ -287,12 +287,16 @@ def set_measure(column: Callable[[Column, Column], Column], python: Callable[[se
     return Expression(lambda a, b: inner.known(F.array_distinct(a), F.array_distinct(b)), inner.python, symmetric)
 
 
-def jaccard() -> Measure:
+def jaccard(distinct: bool = False) -> Measure:
+    """Of sets; ``distinct`` promises that no array repeats an element, which saves the union."""
+
     def known(a: Column, b: Column) -> Column:
-        n = F.size(F.array_intersect(a, b))
-        return n / (F.size(a) + F.size(b) - n)
+        if distinct:
+            return F.element_at(F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: n / (F.size(a) + F.size(b) - n)), 1)
+        # Both array functions drop repeated elements themselves.
+        return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
-    return set_measure(known, lambda a, b: len(a & b) / len(a | b), True)
+    return collection(known, lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)), True)
 
 
 def cosine() -> Measure:

@@ -54,10 +54,11 @@ def passes(keys: Sequence[SortingKey | Pass | tuple[SortingKey, int]], default_w
     return [k if isinstance(k, Pass) else Pass(*k) if isinstance(k, tuple) else Pass(k, default_window) for k in keys]
 
 
-def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
-    """``df`` with positions from 0 in the given order: range partitions are sorted apart and shifted by the sizes of those before."""
+def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank", keep: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with positions from 0 in the given order: range partitions are sorted apart and shifted by the sizes of those before."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    local = cut_lineage(placed.select(*(keep or df.columns), "_part", "_at"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = local.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
     # As many rows as there are partitions.
@@ -77,8 +78,7 @@ def sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id", defau
     found = []
     for p in passes(keys, default_window):
         keyed = df.select(F.col(id_col).alias("id"), p.key.column().alias("key")).where("key is not null and id is not null")
-        ranked = global_rank(keyed, ["key", "id"]).select("id", "rank", F.floor(F.col("rank") / p.window).alias("stretch"))
-        ranked = cut_lineage(ranked)
+        ranked = global_rank(keyed, ["key", "id"], keep=["id"]).select("id", "rank", F.floor(F.col("rank") / p.window).alias("stretch"))
         here = ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra"), F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch"))
         there = ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb"), "stretch")
         pairs = here.join(there, "stretch").where(f"rb - ra between 1 and {p.window - 1}")

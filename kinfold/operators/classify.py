@@ -39,10 +39,11 @@ class Rule:
     threshold: float | None = None
     condition: Condition | None = None
 
-    def outcome(self, left: Column, right: Column, compat: bool = False) -> Column:
+    def score(self, left: Column, right: Column) -> Column:
         s = self.measure(left, right)
-        if self.condition is not None:
-            s = F.when(self.condition(left, right), s)
+        return s if self.condition is None else F.when(self.condition(left, right), s)
+
+    def outcome(self, s: Column, compat: bool = False) -> Column:
         if self.kind == "positive":
             return F.when(s > 0, result(DUPLICATE, s, self.name))
         if self.kind == "negative":
@@ -92,8 +93,9 @@ class RuleBasedClassifier:
     def default_result(self, classification: str, confidence: float = 0.0, explanation: str = "no rule") -> RuleBasedClassifier:
         return replace(self, default=(classification, confidence, explanation))
 
-    def column(self, left: Column, right: Column) -> Column:
-        decided = F.coalesce(*[r.outcome(left, right, self.compat) for r in self.rules], result(*self.default))
+    def column(self, left: Column, right: Column, scores: list[Column] | None = None) -> Column:
+        scores = [r.score(left, right) for r in self.rules] if scores is None else scores
+        decided = F.coalesce(*[r.outcome(s, self.compat) for r, s in zip(self.rules, scores, strict=True)], result(*self.default))
         if self.strict:
             errors = self.errors(left, right)
             return F.when(F.size(errors) > 0, F.raise_error(F.array_join(errors, "; ")).cast(RESULT)).otherwise(decided)
@@ -104,9 +106,11 @@ class RuleBasedClassifier:
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
     def classify(self, pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
-        """``pairs`` with the columns ``result`` and ``errors``."""
+        """``pairs`` with the columns ``result`` and ``errors``. Scores are columns first, so each is computed once."""
         a, b = F.col(left), F.col(right)
-        return pairs.withColumn("result", self.column(a, b)).withColumn("errors", self.errors(a, b))
+        names = [f"_score{i}" for i in range(len(self.rules))]
+        scored = pairs.withColumns({n: r.score(a, b) for n, r in zip(names, self.rules, strict=True)}) if names else pairs
+        return scored.withColumn("result", self.column(a, b, [F.col(n) for n in names])).withColumn("errors", self.errors(a, b)).drop(*names)
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,9 @@ from kinfold.plans.runtime import cut_lineage
 class DuplicateDetection:
     """Candidates, classification, handling of possible duplicates, clustering.
 
-    ``select`` maps records to (left_id, right_id); ``refine`` splits closures, ``previous`` clusters are never split.
+    ``select`` maps records to (left_id, right_id); ``prepare`` maps them to the id and the columns that are compared,
+    so that what depends on one record (words, codes) is computed once a record and not once a pair; ``refine`` splits
+    closures; ``previous`` clusters are never split.
     """
 
     select: Callable[[DataFrame], DataFrame]
@@ -26,8 +28,10 @@ class DuplicateDetection:
     handler: classify.Handler = classify.keep
     refine: bool = False
     max_small: int = clustering.MAX_SMALL
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
     def classify_pairs(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
+        records = records if self.prepare is None else cut_lineage(self.prepare(records))
         joined = candidates.with_records(pairs.select("left_id", "right_id"), records, self.id_col, self.columns)
         return classify.handle_possible(self.classifier.classify(joined), self.handler)
 
