@@ -170,9 +170,13 @@ def latest() -> Resolution:
 
 def prefer_source(*sources: str, compat: bool = False) -> Resolution:
     """Entries of the source that comes first in the list; unlisted ones come last (``compat``: first)."""
-    listed = F.array(*[F.lit(s) for s in sources])
     unlisted = -1 if compat else len(sources) + 1
-    return _best(lambda v: F.coalesce(F.nullif(F.array_position(listed, v["source"]), F.lit(0).cast("long")), F.lit(unlisted).cast("long")), True)
+
+    def rank(v: Column) -> Column:
+        listed = F.array(*[F.lit(s) for s in sources])
+        return F.coalesce(F.nullif(F.array_position(listed, v["source"]), F.lit(0).cast("long")), F.lit(unlisted).cast("long"))
+
+    return _best(rank, True)
 
 
 def union() -> Resolution:
