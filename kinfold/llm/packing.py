@@ -90,8 +90,9 @@ def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, wind
     """Sorted places (0 and ``total`` among them) and the penalty of a cut at each."""
     soft = np.unique(np.concatenate([[0, total], doc_ends, sentence_ends]))
     gaps = np.diff(soft)
-    wide = np.flatnonzero(gaps > 2 * GAP)
-    more = [np.arange(soft[i] + GAP, soft[i + 1], GAP) for i in wide]
+    gap = min(GAP, max(1, window // 4))
+    wide = np.flatnonzero(gaps > 2 * gap)
+    more = [np.arange(soft[i] + gap, soft[i + 1], gap) for i in wide]
     near_end = total - (1 << np.arange(window.bit_length()))
     places = np.unique(np.concatenate([soft, *more, near_end[near_end > 0]])).astype(np.int64)
     cost = np.full(len(places), HARD_CUT)

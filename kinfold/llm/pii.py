@@ -177,8 +177,8 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = "kinfold", found:
     """All rows and columns of ``df`` with the values found in ``text`` replaced by their pseudonyms.
 
     ``found`` names a further column: an array of (kind, value, pseudonym). Values that fail validation stay. Null
-    texts stay null and have no values, empty texts stay empty; texts keep their lengths in characters; repeated
-    rows get equal results. Only ``text`` is read; a column called like ``found`` raises at plan time.
+    texts stay null and have no values, empty texts stay empty; values keep their lengths, but for addresses, whose
+    numbers may get more or fewer digits; repeated rows get equal results. Only ``text`` is read; a column called like ``found`` raises at plan time.
     """
     if found in df.columns:
         raise ValueError(f"there is a column {found} already")

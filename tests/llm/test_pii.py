@@ -1,0 +1,76 @@
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinfold.llm import pii
+from tests.llm.conftest import ODD
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def shape(s):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", s)))
+
+
+@pytest.fixture(scope="module")
+def run(spark):
+    def go(texts, key="k"):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        return [r.text for r in pii.pseudonymize(df, key=key).orderBy("i").collect()]
+
+    return go
+
+
+def test_values_keep_their_formats(run):
+    values = ["4041894974608795", "4041-8949-7460-8795", "378282246310005", "39.197.112.39", "2021-02-28", "28.02.2021", "31/12/1999", "123-45-6789", "+1 (473) 555-2164", "473-555-2164", "joe.b12@ex-1.example.com", "0641917ea4e9feb9cda83477b57ac2654884f485", "GB82WEST12345698765432"]
+    got = run([f"see {v}, there" for v in values])
+    for v, g in zip(values, got, strict=True):
+        g = g.removeprefix("see ").removesuffix(", there")
+        same = r"[0-9.]{7,15}" if v.count(".") == 3 and "@" not in v else None
+        assert g != v and (re.fullmatch(same, g) if same else shape(g) == shape(v)), (v, g)
+    one = {v: g[4:-7] for v, g in zip(values, got, strict=True)}
+    assert luhn(one["4041894974608795"]) and luhn(one["378282246310005"])
+    assert one["4041-8949-7460-8795"].replace("-", "") == one["4041894974608795"]
+    assert dt.date.fromisoformat(one["2021-02-28"]).strftime("%d.%m.%Y") == one["28.02.2021"]
+    assert dt.datetime.strptime(one["31/12/1999"], "%d/%m/%Y").year in range(1900, 2000)
+    assert all(int(x) < 256 for x in one["39.197.112.39"].split("."))
+    assert re.sub(r"\D", "", one["+1 (473) 555-2164"])[1:] == re.sub(r"\D", "", one["473-555-2164"])
+    i = one["GB82WEST12345698765432"]
+    assert int("".join(str(int(c, 36)) for c in i[4:] + i[:4])) % 97 == 1
+    assert run(["see 4041894974608795"], "other") != [f"see {one['4041894974608795']}"]
+
+
+def test_invalid_values_stay(run):
+    texts = ["card 4041894974608796", "ip 999.1.1.1 and 1.2.3.4.5", "day 2021-02-30", "ssn 000-12-1234 and 666-12-1234", "GB82WEST12345698765431", "12345", "v1.2.3", None, "", "plain"]
+    assert run(texts) == texts
+
+
+def test_permutations(spark):
+    n = spark.range(92 * 397)
+    got = n.select(F.expr(pii.feistel_number("id", "92L", "397L", "'t'")).alias("x"))
+    assert got.distinct().count() == 92 * 397 and got.agg(F.min("x"), F.max("x")).first() == (0, 92 * 397 - 1)
+    s = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"))
+    assert s.select(F.expr(pii.feistel_string("s", "'t'")).alias("x")).where("x rlike '^[0-9]{4}$'").distinct().count() == 10_000
+    days = spark.sql("SELECT explode(sequence(date'2000-01-01', date'2099-12-31')) AS d").select(F.date_format("d", "yyyy-MM-dd").alias("text"))
+    assert pii.pseudonymize(days).where("text between '2000-01-01' and '2099-12-31'").distinct().count() == 36525
+    areas = spark.range(0, 88902 * 9999, 8889 * 101).select(F.col("id").alias("v"))
+    assert areas.count() > 900
+    ssn = spark.range(1, 900).where("id <> 666").select(F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("-45-6789")).alias("text"))
+    out = pii.pseudonymize(ssn)
+    assert out.where("text rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'").distinct().count() == 898
+
+
+def test_odd_rows(odd, empty):
+    got = pii.pseudonymize(odd)
+    assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
+    with pytest.raises(ValueError):
+        pii.pseudonymize(odd, found="size")
+    assert pii.pseudonymize(odd, found="found").where("size(found) > 0").count() == 0
+    assert pii.pseudonymize(empty).count() == 0 and len(ODD) == got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
