@@ -49,6 +49,11 @@ def field(name: str) -> Transform:
     return Transform(lambda c: c.getField(name), lambda x: x[name])
 
 
+def with_field(record: Column, name: str, value: Column) -> Column:
+    """The record with a field set."""
+    return record.withField(name, value)
+
+
 def words() -> Transform:
     """Split at runs of white space; leading and trailing empty words stay."""
     return Transform(lambda c: F.split(c, r"\s+"), lambda s: re.split(r"[ \t\n\x0b\f\r]+", s))

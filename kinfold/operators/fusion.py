@@ -184,8 +184,9 @@ def union() -> Resolution:
     return _one(lambda vals: F.array_sort(F.array_distinct(F.flatten(_values(vals)))))
 
 
-def union_all() -> Resolution:
-    return _one(lambda vals: F.flatten(_values(vals)))
+def union_all(finish: Callable[[Column], Column] = lambda c: c) -> Resolution:
+    """Of arrays: all elements; ``finish`` makes another collection of them."""
+    return _one(lambda vals: finish(F.flatten(_values(vals))))
 
 
 def assume_equal_value() -> Resolution:
@@ -369,3 +370,47 @@ def group_values(df: DataFrame, key: str, value: str | Column, order: Sequence[s
     e = entry(v, c(source, F.lit(UNKNOWN_SOURCE[0])), c(weight, F.lit(1.0)), c(ts, F.lit(None)))
     ordered = F.array_sort(F.collect_list(F.struct(*[c(o, None).alias(f"_o{i}") for i, o in enumerate(order)], e.alias("e"))))
     return kept.groupBy(key).agg(F.transform(ordered, lambda x: x["e"]).alias("vals"))
+
+
+# --- fields of hot clusters ------------------------------------------------------------------------------
+
+#: Resolutions that aggregates can do without gathering a cluster, each of them with ties broken by the smallest value.
+AGGREGATES = ("min", "max", "sum", "mean", "first", "last", "most_frequent", "vote", "earliest", "latest", "longest", "shortest", "count")
+
+
+def aggregate_fields(records: DataFrame, cluster_col: str, fields: dict[str, tuple[str, str]], source_col: str | None = None, ts_col: str | None = None, arrival_col: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(cluster_col, one column per entry of ``fields``: name to (column, resolution)) for clusters of any size.
+
+    Everything is partially aggregated before it is shuffled, so a cluster that holds a third of all rows costs a task
+    no more than others: votes are summed by value first, the rest are running minima and maxima. Null and empty
+    values take no part. For chains of resolutions and lineage use ``fuse``, which gathers each cluster.
+    """
+    wrong = [r for _, r in fields.values() if r not in AGGREGATES]
+    if wrong:
+        raise ValueError(f"{wrong[0]} is none of {', '.join(AGGREGATES)}")
+    rows = with_lineage(records, source_col, ts_col, weights)
+    arrival = F.col(arrival_col) if arrival_col else F.lit(0)
+    plain, voted = [], []
+    for name, (column, how) in fields.items():
+        kind = records.schema[column].dataType.simpleString()
+        c = F.when(is_non_empty(F.col(column), kind), F.col(column))
+        if how in ("vote", "most_frequent"):
+            voted.append((name, column, kind, F.col("_weight") if how == "vote" else F.lit(1.0)))
+            continue
+        # The smallest of (rank, value) with the rank of the resolution, or the largest negated.
+        by = {"first": arrival, "last": arrival, "earliest": F.col("_ts"), "latest": F.col("_ts"), "longest": F.length(c), "shortest": F.length(c)}.get(how)
+        if how in ("min", "max", "sum", "count"):
+            plain.append(getattr(F, how)(c).alias(name))
+        elif how == "mean":
+            plain.append(F.avg(c).alias(name))
+        elif how in ("last", "latest", "longest"):
+            falling = -F.unix_micros(by.cast("timestamp")) if how == "latest" else -by
+            plain.append(F.min(F.when(c.isNotNull(), F.struct(falling.alias("by"), c.alias("v"))))["v"].alias(name))
+        else:
+            plain.append(F.min(F.when(c.isNotNull(), F.struct(by.alias('by'), c.alias("v"))))["v"].alias(name))
+    out = rows.groupBy(cluster_col).agg(*(plain or [F.count(F.lit(1)).alias("_n")]))
+    for name, column, kind, weight in voted:
+        counted = rows.where(is_non_empty(F.col(column), kind)).groupBy(cluster_col, F.col(column).alias("_v")).agg(F.sum(weight).alias("_w"))
+        won = counted.groupBy(F.col(cluster_col).alias("_c")).agg(F.min(F.struct(-F.col("_w"), F.col("_v").alias("v")))["v"].alias(name))
+        out = out.join(won, out[cluster_col].eqNullSafe(won["_c"]), "left").drop("_c")
+    return out.select(cluster_col, *fields)

@@ -439,6 +439,28 @@ register(
     FROM e JOIN b ON b.user_id = e.user_id GROUP BY e.user_id""",
 )
 
+
+def _hot(spark: SparkSession, d: str) -> DataFrame:
+    """Few clusters of very many rows, by aggregates that combine before the shuffle."""
+    rows = table(spark, d, "lineitem").withColumn("source", F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")))
+    fields = {"cheapest": ("l_extendedprice", "min"), "n": ("l_quantity", "count"), "voted": ("l_linenumber", "vote"), "frequent": ("l_suppkey", "most_frequent"), "newest": ("l_orderkey", "latest"), "oldest": ("l_orderkey", "earliest"), "first_part": ("l_partkey", "first"), "last_part": ("l_partkey", "last"), "longest": ("l_linestatus", "longest")}
+    return fusion.aggregate_fields(rows, "l_returnflag", fields, "source", "l_shipdate", "l_orderkey", {"s1": 2.0, "s2": 3.0})
+
+
+register(
+    "fuse_hot_clusters",
+    _hot,
+    """WITH e AS (SELECT *, CASE l_partkey % 5 WHEN 1 THEN 2.0 WHEN 2 THEN 3.0 ELSE 1.0 END AS w FROM lineitem),
+    v AS (SELECT l_returnflag AS k, l_linenumber AS x FROM e GROUP BY l_returnflag, l_linenumber QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY sum(w) DESC, l_linenumber) = 1),
+    f AS (SELECT l_returnflag AS k, l_suppkey AS x FROM e GROUP BY l_returnflag, l_suppkey QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_suppkey) = 1),
+    o AS (SELECT l_returnflag AS k, min(l_orderkey) AS x FROM (SELECT * FROM e QUALIFY l_shipdate = min(l_shipdate) OVER (PARTITION BY l_returnflag)) GROUP BY 1),
+    n AS (SELECT l_returnflag AS k, min(l_orderkey) AS x FROM (SELECT * FROM e QUALIFY l_shipdate = max(l_shipdate) OVER (PARTITION BY l_returnflag)) GROUP BY 1),
+    a AS (SELECT l_returnflag AS k, min(l_partkey) AS x FROM (SELECT * FROM e QUALIFY l_orderkey = min(l_orderkey) OVER (PARTITION BY l_returnflag)) GROUP BY 1),
+    z AS (SELECT l_returnflag AS k, min(l_partkey) AS x FROM (SELECT * FROM e QUALIFY l_orderkey = max(l_orderkey) OVER (PARTITION BY l_returnflag)) GROUP BY 1)
+    SELECT l_returnflag, min(l_extendedprice) AS cheapest, count(*) AS n, any_value(v.x) AS voted, any_value(f.x) AS frequent, any_value(n.x) AS newest, any_value(o.x) AS oldest, any_value(a.x) AS first_part, any_value(z.x) AS last_part, min(l_linestatus) AS longest
+    FROM e JOIN v ON v.k = l_returnflag JOIN f ON f.k = l_returnflag JOIN o ON o.k = l_returnflag JOIN n ON n.k = l_returnflag JOIN a ON a.k = l_returnflag JOIN z ON z.k = l_returnflag GROUP BY l_returnflag""",
+)
+
 # --- whole pipelines ---------------------------------------------------------------------------------------
 
 

@@ -87,3 +87,14 @@ def test_group_values(spark):
     g = f.group_values(df, "cluster_id", "lastName", ["arrival"], "source", ts="lastModified")
     got = {r.cluster_id: [v.value for v in r.vals] for r in g.collect()}
     assert got == {1: ["Doe", "Smith"], 2: [""]}
+
+
+def test_aggregated_fields(spark):
+    df = people(spark)
+    fields = {"a": ("firstName", "longest"), "b": ("firstName", "shortest"), "c": ("lastName", "first"), "d": ("lastName", "last"), "e": ("lastName", "latest"), "f": ("lastName", "earliest"), "g": ("gender", "vote"), "h": ("id", "min"), "i": ("id", "max"), "j": ("arrival", "sum"), "k": ("arrival", "mean"), "n": ("gender", "count")}
+    got = {r.cluster_id: tuple(r)[1:] for r in f.aggregate_fields(df, "cluster_id", fields, "source", "lastModified", "arrival", {"source2": 2.0}).collect()}
+    assert got[1] == ("Joanna", "John", "Doe", "Smith", "Doe", "Smith", "MALE", "id1", "id2", 1, 0.5, 2)
+    assert got[2] == ("Ann", "Ann", None, None, None, None, None, "id3", "id3", 2, 2.0, 0)
+    assert f.aggregate_fields(df, "cluster_id", {"g": ("gender", "most_frequent")}).count() == 2
+    with pytest.raises(ValueError):
+        f.aggregate_fields(df, "cluster_id", {"g": ("gender", "union")})
