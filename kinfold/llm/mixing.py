@@ -2,9 +2,10 @@
 
 Every row of a source should be taken target / size of the source times. The whole part is fixed; the fraction is
 rounded dependently: rows meet in pairs and pass expected words from one to the other, in a random direction that
-keeps each row's expectation, until one of the two is taken for certain or left for certain. Groups of about
-``LEAF`` rows are folded that way, the largest first so that a small one stays open; their one open row each enters the next level of the tree, and so the sum of a
-source stays exact until its last open row is rounded.
+keeps each row's expectation, until one of the two is taken for certain or left for certain. In a leaf of about
+``LEAF`` rows, which share one probability, each row in turn, the largest first, meets all that follow as one pool, so
+that large rows are settled early and a small one stays open. The open rows of the leaves enter the next level of the
+tree, where they meet in pairs; the sum of a source stays exact until its last open row is rounded.
 """
 
 from __future__ import annotations
@@ -46,11 +47,32 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, large
 _UNIT = "struct<size:bigint,u:double,doc_id:{id},tie:bigint,occ:int,p:double>"
 
 
+def _unit(who: str, p: str) -> str:
+    return f"named_struct('size', {who}.size, 'u', {who}.u, 'doc_id', {who}.doc_id, 'tie', {who}.tie, 'occ', {who}.occ, 'p', {p})"
+
+
+def _leaf(units: str, kind: str) -> str:
+    """SQL for rows of one probability, the largest first: each against the pool of those after it.
+
+    The state: the pool's probability ``q``, the words of the rows not met yet, the value ``v`` of a pool that became
+    whole (-1 before), the open row and the settled ones.
+    """
+    unit = _UNIT.format(id=kind)
+    state = lambda q, v, cur, done: f"named_struct('q', {q}, 'rest', a.rest, 'v', {v}, 'cur', {cur}, 'done', {done})"
+    settled = lambda p: f"concat(a.done, array({_unit('b', p)}))"
+    taken = f"if((1 - a.q) * b.size <= a.q * a.rest, {state('greatest(a.q - a.d1 / a.rest, 0D)', '-1D', 'a.cur', settled('1D'))}, {state('a.q', '0D', _unit('b', 'least(a.q + a.d1 / b.size, 1D)'), 'a.done')})"
+    left = f"if(a.q * b.size <= (1 - a.q) * a.rest, {state('least(a.q + a.d2 / a.rest, 1D)', '-1D', 'a.cur', settled('0D'))}, {state('a.q', '1D', _unit('b', 'greatest(a.q - a.d2 / b.size, 0D)'), 'a.done')})"
+    step = f"case when a.v >= 0 then {state('a.q', 'a.v', 'a.cur', settled('a.v'))} when a.rest = 0 then {state('a.q', 'a.v', _unit('b', 'a.q'), 'a.done')} when b.u * (a.d1 + a.d2) < a.d2 then {taken} else {left} end"
+    known = "named_struct('q', acc.q, 'rest', acc.rest - b.size, 'v', acc.v, 'cur', acc.cur, 'done', acc.done, 'd1', least((1 - acc.q) * b.size, acc.q * (acc.rest - b.size)), 'd2', least(acc.q * b.size, (1 - acc.q) * (acc.rest - b.size)))"
+    start = f"named_struct('q', {units}[0].p, 'rest', aggregate({units}, 0L, (t, x) -> t + x.size), 'v', -1D, 'cur', cast(null as {unit}), 'done', cast(array() as array<{unit}>))"
+    return f"aggregate({units}, {start}, (acc, b) -> element_at(transform(array({known}), a -> {step}), 1), s -> named_struct('cur', s.cur, 'done', s.done))"
+
+
 def _fold(units: str, kind: str) -> str:
     """SQL that pairs the units of an array in order: struct of the one left open and the settled ones."""
     unit = _UNIT.format(id=kind)
     up, down = "least((1 - a.cur.p) * a.cur.size, b.p * b.size)", "least(a.cur.p * a.cur.size, (1 - b.p) * b.size)"
-    cur = lambda who, p: f"named_struct('size', {who}.size, 'u', {who}.u, 'doc_id', {who}.doc_id, 'tie', {who}.tie, 'occ', {who}.occ, 'p', {p})"
+    cur = _unit
     end = lambda who, p: f"array({cur(who, p)})"
     # d words go from one to the other; whichever of the two bounds was reached first settles its unit.
     to_cur = f"if((1 - a.cur.p) * a.cur.size <= b.p * b.size, named_struct('cur', {cur('b', 'greatest(b.p - a.d1 / b.size, 0D)')}, 'done', concat(a.done, {end('a.cur', '1D')})), named_struct('cur', {cur('a.cur', 'least(a.cur.p + a.d1 / a.cur.size, 1D)')}, 'done', concat(a.done, {end('b', '0D')})))"
@@ -95,7 +117,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             .groupBy(*about, "n", "group")
             .agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", u.alias("u"), "doc_id", "tie", "occ", "p")))).alias("units"))
         )
-        folded = cut_lineage(gathered.select(*about, "n", F.expr(_fold("units", kind)).alias("f")))
+        folded = cut_lineage(gathered.select(*about, "n", F.expr((_fold if level else _leaf)("units", kind)).alias("f")))
         settled.append(folded.select(*about, F.explode("f.done").alias("x")).select(*about, "x.doc_id", "x.tie", "x.occ", "x.size", "x.p"))
         units = folded.select(*about, "n", "f.cur.doc_id", "f.cur.tie", "f.cur.occ", "f.cur.size", "f.cur.p")
         most, level = -(-most // LEAF), level + 1
