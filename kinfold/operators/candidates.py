@@ -100,8 +100,8 @@ def _needed(rows: list[tuple], half: int, earliest: float) -> list[tuple]:
     return out
 
 
-def _neighbours(rows: list[tuple], local: set, half: int) -> list[tuple]:
-    """(new, old) for the local ones of (group, arrival, id): newest first, each is taken out of the order and sees what is left, the older ones."""
+def _neighbours(rows: list[tuple], local: set, half: int, since: int) -> list[tuple]:
+    """(new, old) for the local ones of (group, arrival, id) from arrival ``since`` on: newest first, each is taken out of the order and sees what is left, the older ones."""
     groups: dict[int, list[tuple]] = {}
     for r in sorted(rows, key=lambda r: (r[0], r[1])):
         groups.setdefault(r[0], []).append(r)
@@ -109,7 +109,9 @@ def _neighbours(rows: list[tuple], local: set, half: int) -> list[tuple]:
     after = dict(zip(order, [*order[1:], None], strict=True))
     before = dict(zip(order, [None, *order[:-1]], strict=True))
     out = []
-    for g, _, i in sorted(rows, key=lambda r: -r[1]):
+    for g, arrival, i in sorted(rows, key=lambda r: -r[1]):
+        if arrival < since:
+            break
         groups[g].pop()
         if i in local:
             seen: dict = {}
@@ -130,9 +132,11 @@ def _neighbours(rows: list[tuple], local: set, half: int) -> list[tuple]:
     return out
 
 
-def online_sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id", arrival_col: str = "arrival", default_window: int = DEFAULT_WINDOW) -> DataFrame:
+def online_sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id", arrival_col: str = "arrival", default_window: int = DEFAULT_WINDOW, since: int = 0) -> DataFrame:
     """(left_id, right_id): what each record met when it arrived, as if records came one by one in order of ``arrival_col``.
 
+    Only records that arrived at ``since`` or later are asked for; all are met.
+
     In each pass a record meets up to half a window of older records with keys up to its own, nearest first, and as many
     with keys from its own on; equal keys count for both sides, oldest first. Arrivals are unique whole numbers.
 
@@ -147,7 +151,7 @@ def online_sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id"
         base = df.select(F.col(id_col).alias("id"), F.col(arrival_col).cast("long").alias("arrival"), p.key.column().alias("key")).where("key is not null")
         oldest = Window.partitionBy("key").orderBy("arrival")
         early = cut_lineage(base.withColumn("n", F.row_number().over(oldest)).where(F.col("n") <= half).drop("n"))
-        late = base.join(early.select("id"), "id", "left_anti")
+        late = base.where(F.col("arrival") >= since).join(early.select("id"), "id", "left_anti")
         same = early.select("key", F.col("id").alias("old"))
         found.append(late.join(same, "key").select(F.col("id").alias("left_id"), F.col("old").alias("right_id")))
         groups = global_rank(early.select("key").distinct(), ["key"], "group")
@@ -158,10 +162,10 @@ def online_sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id"
         chunk = -(-n_groups // n_parts)
         indexed = indexed.withColumn("part", F.floor(F.col("group") / chunk).cast("int"))
         # One number for each range.
-        first = {r[0]: r[1] for r in indexed.groupBy("part").agg(F.min("arrival")).collect()}
+        first = {r[0]: max(r[1], since) for r in indexed.groupBy("part").agg(F.min("arrival")).collect()}
         below = lambda q: min((v for k, v in first.items() if k < q), default=float("inf"))
         above = lambda q: min((v for k, v in first.items() if k > q), default=float("inf"))
-        summary, carried, answer = _range_functions({q: (above(q), below(q)) for q in first}, half)
+        summary, carried, answer = _range_functions({q: (above(q), below(q)) for q in first}, half, since)
         shape = f"part int, group long, arrival long, id {kind}"
         summaries = indexed.groupBy("part").applyInPandas(summary, f"part int, way string, group long, arrival long, id {kind}")
         carries = cut_lineage(summaries.groupBy("way").applyInPandas(carried, shape))
@@ -170,7 +174,7 @@ def online_sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id"
     return _union(found)
 
 
-def _range_functions(earliest: dict[int, tuple[float, float]], half: int):
+def _range_functions(earliest: dict[int, tuple[float, float]], half: int, since: int):
     """What a range hands on, how that is carried to the ranges beyond, and the answers of a range."""
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["group"].tolist(), pdf["arrival"].tolist(), pdf["id"].tolist(), strict=True))
@@ -196,7 +200,7 @@ def _range_functions(earliest: dict[int, tuple[float, float]], half: int):
 
     def answer(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         rows = [t for d in (pdf, more) for t in zip(d["group"].tolist(), d["arrival"].tolist(), d["id"].tolist(), strict=True)]
-        return pd.DataFrame(_neighbours(rows, set(pdf["id"].tolist()), half), columns=["left_id", "right_id"])
+        return pd.DataFrame(_neighbours(rows, set(pdf["id"].tolist()), half, since), columns=["left_id", "right_id"])
 
     return summary, carried, answer
 

@@ -37,8 +37,7 @@ class OnlineDetection:
         start = 0 if seen is None else (seen[1].agg(F.max("_arrival")).first()[0] or 0)
         fresh = cut_lineage(candidates.global_rank(batch, [self.order, i], "_arrival").withColumn("_arrival", F.col("_arrival") + start + 1))
         every = fresh if seen is None else seen[1].unionByName(fresh)
-        pairs = candidates.online_sorted_neighborhood(every, self.keys, i, "_arrival", self.window)
-        pairs = pairs.join(fresh.select(F.col(i).alias("left_id")), "left_id", "left_semi")
+        pairs = candidates.online_sorted_neighborhood(every, self.keys, i, "_arrival", self.window, since=start + 1)
         classified = cut_lineage(self.detection.classify_pairs(pairs, every).select("left_id", "right_id", "result"))
         held = read_version(spark, f"{self.path}/clusters")
         before = None if held is None else held[1].select("cluster_id", "record_id")
