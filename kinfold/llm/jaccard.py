@@ -394,12 +394,13 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each class, that of the smallest key; rows with a null key stay."""
-    kept = jaccard_join(df, key, text).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = df.where(F.col(key).isNotNull())
-    first = Window.partitionBy(key).orderBy(F.lit(0))
-    once = named.join(kept, F.col(key) == F.col("_kept"), "left_semi").withColumn("_kinfold_row", F.row_number().over(first)).where("_kinfold_row = 1").drop("_kinfold_row")
-    return once.unionByName(df.where(F.col(key).isNull()))
+    """``df`` with one row of each class, that of the smallest key; rows with a null key stay. Columns keep their names, whatever they are."""
+    kept = jaccard_join(df, key, text).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("long").alias("id"))
+    first = Window.partitionBy("id").orderBy(F.lit(0))
+    named = rows.where("id is not null")
+    once = named.join(kept, F.col("id") == F.col("kept"), "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return once.select("row.*").unionByName(rows.where("id is null").select("row.*"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,10 +263,8 @@ def _mux_texts(text):
 def text_to_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """All rows with a further binary column ``media``: the UTF-8 text padded by zeros to a positive multiple of 64, as a PCM file.
 
-    A null text counts as empty. A column that is already called ``media`` raises at plan time.
+    A null text counts as empty. A column that is called like ``media`` is replaced.
     """
-    if media in df.columns:
-        raise ValueError(f"there is a column {media} already")
     return df.withColumn(media, _mux_texts(F.col(text)))
 
 

@@ -90,14 +90,31 @@ def _ip(m: str, key: str) -> str:
 
 
 def _date(m: str, key: str) -> str:
-    """Within its century, whose 36,524 or 36,525 days are 92 x 397 or 75 x 487."""
+    """Within its century, whose 36,524 or 36,525 days are 92 x 397 or 75 x 487.
+
+    Slashed dates are read day first; those that can only be read month first are permuted among themselves.
+    """
     iso = f"{m} like '____-%'"
-    day = f"if({iso}, try_to_date({m}, 'yyyy-MM-dd'), coalesce(try_to_date(translate({m}, '/', '.'), 'dd.MM.yyyy'), try_to_date(translate({m}, '/', '.'), 'MM.dd.yyyy')))"
+    day = f"if({iso}, try_to_date({m}, 'yyyy-MM-dd'), try_to_date(translate({m}, '/', '.'), 'dd.MM.yyyy'))"
     first_of = "make_date(year(d) div 100 * 100, 1, 1)"
     leap = "year(d) div 100 % 4 = 0"
     moved = feistel_number(f"datediff(d, {first_of})", f"if({leap}, 75L, 92L)", f"if({leap}, 487L, 397L)", f"concat({key}, 'date', year(d) div 100)")
     written = f"case when {iso} then date_format(e, 'yyyy-MM-dd') when {m} like '%/%' then date_format(e, 'dd/MM/yyyy') else date_format(e, 'dd.MM.yyyy') end"
-    return _let(day, "d", f"if(d is null or year(d) < 1, {m}, {_let(f'date_add({first_of}, cast({moved} as int))', 'e', written)})")
+    dated = _let(f"date_add({first_of}, cast({moved} as int))", "e", written)
+    return _let(day, "d", f"if(d is null or year(d) < 1, {_month_first(m, key)}, {dated})")
+
+
+def _month_first(m: str, key: str) -> str:
+    """MM/DD/YYYY with a day over 12: days to 28 with their month and year of the century (120 x 160); later days keep day and month, and get a year of the century (10 x 10) or, for February 29, a leap year (5 x 5 or 4 x 6)."""
+    date = f"try_to_date({m}, 'MM/dd/yyyy')"
+    y, c, day = "year(d)", "year(d) div 100", "day(d)"
+    early = feistel_number(f"({y} % 100 * 12 + month(d) - 1) * 16 + {day} - 13", "120L", "160L", f"concat({key}, 'month first', {c})")
+    written = f"concat(lpad(n div 16 % 12 + 1, 2, '0'), '/', n % 16 + 13, '/', lpad({c} * 100 + n div 192, 4, '0'))"
+    years = feistel_number(f"{y} % 100", "10L", "10L", f"concat({key}, 'year', {c})")
+    even = f"{c} % 4 = 0"
+    leaps = feistel_number(f"{y} % 100 div 4 - if({even}, 0, 1)", f"if({even}, 5L, 4L)", f"if({even}, 5L, 6L)", f"concat({key}, 'leap', {c})")
+    late = f"concat(substr({m}, 1, 6), lpad({c} * 100 + if(month(d) = 2, ({leaps} + if({even}, 0, 1)) * 4, {years}), 4, '0'))"
+    return _let(date, "d", f"if(d is null or year(d) < 1, {m}, if({day} <= 28, {_let(early, 'n', written)}, {late}))")
 
 
 def _ssn(m: str, key: str) -> str:
@@ -178,14 +195,13 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = "kinfold", found:
 
     ``found`` names a further column: an array of (kind, value, pseudonym). Values that fail validation stay. Null
     texts stay null and have no values, empty texts stay empty; values keep their lengths, but for addresses, whose
-    numbers may get more or fewer digits; repeated rows get equal results. Only ``text`` is read; a column called like ``found`` raises at plan time.
+    numbers may get more or fewer digits; repeated rows get equal results. Only ``text`` is read; a
+    column that is called like ``found`` is replaced.
     """
-    if found in df.columns:
-        raise ValueError(f"there is a column {found} already")
     rx, k = _sql(pattern()), _sql(key + "|")
     kind = "case " + " ".join(f"when {test} then '{name}'" for name, test in _kinds("m")) + " end"
     hits = f"transform(regexp_extract_all(`{text}`, {rx}, 0), m -> named_struct('kind', {kind}, 'value', m, 'pseudonym', {pseudonym_sql('m', k)}))"
-    name = found or "_kinfold_found"
+    name = found or next(n for n in ("_found" + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns)
     out = df.withColumn(name, F.expr(hits))
     rebuilt = f"array_join(zip_with(split(`{text}`, {rx}, -1), `{name}`, (a, b) -> concat(a, coalesce(b.pseudonym, ''))), '')"
     out = out.withColumn(text, F.expr(f"if(size(`{name}`) > 0, {rebuilt}, `{text}`)"))

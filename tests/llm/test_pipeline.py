@@ -42,6 +42,21 @@ def test_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(str(tuple(r[at[c]] for c in cols)) for r in rel.fetchall())
 
 
+@needs_data
+def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    more = odd.select("*", odd.row.alias("_row"), odd.row.alias("_key"), odd.row.alias("kept"), odd.row.alias("id"), odd.row.alias("copies"), odd.row.alias("_text"))
+    for docs in (more, more.limit(0)):
+        n = docs.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(DATA))
+            if k < 4:
+                assert out.columns == more.columns, name
+            else:
+                assert {"doc_id", "start", "sequence_id"} <= set(out.columns)
+            rows = out.count()
+            assert (rows > 0) == (n > 0) and (name != "pii" or rows == n)
+
+
 def test_registry():
     names = list(registry.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
