@@ -64,14 +64,14 @@ def embed(s: np.ndarray) -> np.ndarray:
     return (mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
-def extend(who: np.ndarray, key: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of recursion nodes: each node samples one coordinate, some a second; a set goes on with its token there."""
-    rows = np.arange(len(who)) if len(tokens) == len(who) else who
+def extend(key: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) of recursion nodes, one node and its set's tokens a row: each node samples one coordinate, some a second, and a set goes on with its token there."""
+    row = np.arange(len(key))
     first = (mix(key ^ np.uint64(0xA5A5)) % np.uint64(TOKENS)).astype(np.int64)
     other = (mix(key ^ np.uint64(0xC3C3)) % np.uint64(TOKENS)).astype(np.int64)
-    twice = ((mix(key ^ np.uint64(0x9696)) >> np.uint64(11)).astype(np.float64) < SECOND * (1 << 53)) & (first != other)
-    child = lambda k, c, r: mix(k * np.uint64(0x9E3779B97F4A7C15) + (c.astype(np.uint64) << np.uint64(20)) + tokens[r, c].astype(np.uint64))
-    return np.concatenate([who, who[twice]]), np.concatenate([child(key, first, rows), child(key[twice], other[twice], rows[twice])])
+    twice = np.flatnonzero(((mix(key ^ np.uint64(0x9696)) >> np.uint64(11)).astype(np.float64) < SECOND * (1 << 53)) & (first != other))
+    child = lambda r, c: mix(key[r] * np.uint64(0x9E3779B97F4A7C15) + (c.astype(np.uint64) << np.uint64(20)) + tokens[r, c].astype(np.uint64))
+    return np.concatenate([row, twice]), np.concatenate([child(row, first), child(twice, other[twice])])
 
 
 def paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +80,11 @@ def paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> tuple[np.ndarray
     who = np.tile(np.arange(n), runs)
     key = np.repeat(mix(np.arange(1, runs + 1, dtype=np.uint64)), n)
     for _ in range(depth):
-        who, key = _extend_by_set(who, key, tokens)
+        row, key = extend(key, tokens[who])
+        who = who[row]
     return who, key
 
 
-def _extend_by_set(who: np.ndarray, key: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, k = extend(np.arange(len(who)), key, tokens[who])
-    return who[at], k
-
-
 def _shingles(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     for a, b in chunks(texts):
         h, first = word_hashes(texts[a:b])
@@ -147,9 +143,8 @@ def _deeper(rows: DataFrame) -> DataFrame:
             for s in range(0, batch.num_rows, 20_000):
                 part = batch.slice(s, 20_000)
                 if part.num_rows:
-                    tokens = _matrix(part.column(3))
-                    who, key = extend(np.arange(len(tokens)), np.asarray(part.column(0)).view(np.uint64), tokens)
-                    yield from _taken(pa.RecordBatch.from_arrays(part.columns[1:], names=["rep", "n", "tokens"]), who, key)
+                    row, key = extend(np.asarray(part.column(0)).view(np.uint64), _matrix(part.column(3)))
+                    yield from _taken(pa.RecordBatch.from_arrays(part.columns[1:], names=["rep", "n", "tokens"]), row, key)
 
     return rows.select("key", "rep", "n", "tokens").mapInArrow(run, _KEYED)
 
