@@ -5,8 +5,6 @@ Clusters are tables (cluster_id, record_id); the id is by default the smallest r
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,13 +98,18 @@ def edge_weight(classification: str, confidence: float) -> float:
     return confidence if classification == DUPLICATE else -confidence if classification == "NON_DUPLICATE" else 0.0
 
 
-@cache
+_PARTITIONS: dict[int, np.ndarray] = {}
+
+
 def partitions(n: int) -> np.ndarray:
-    """All partitions of n elements as rows of restricted growth strings, in lexicographic order."""
+    """All partitions of n elements as rows of restricted growth strings, in lexicographic order; made once for each n."""
+    if n in _PARTITIONS:
+        return _PARTITIONS[n]
     rows = np.zeros((1, 1), np.int8)
     for _ in range(n - 1):
         top = rows.max(1).astype(np.int64) + 2
         rows = np.concatenate([np.repeat(rows, top, 0), (np.arange(top.sum()) - np.repeat(np.cumsum(top) - top, top))[:, None].astype(np.int8)], 1)
+    _PARTITIONS[n] = rows
     return rows
 
 

@@ -89,7 +89,7 @@ similarity("sim_jaccard_words", _parts, m.jaccard().of(t.words()), _PARTS, SET_J
 similarity("sim_cosine_words", _parts, m.cosine().of(t.words()), _PARTS, COSINE)
 similarity("sim_monge_elkan", _parts, m.monge_elkan(lev).of(t.words()), _PARTS, ELKAN)
 similarity("sim_position_wise", _parts, m.position_wise(lev).of(t.words()), _PARTS, PLACE)
-similarity("sim_scaled_numeric", _orders, m.scaled_difference(100_000), _ORDERS, "greatest(0, 1 - abs(l - r) / 100000.0::DOUBLE)")
+similarity("sim_scaled_numeric", _orders, m.scaled_difference(99_991), _ORDERS, "greatest(0, 1 - abs(l - r) / 99991.0::DOUBLE)")
 similarity("sim_scaled_days", _orders, m.scaled_difference(365, "DAY"), _ORDERS, "greatest(0, 1 - abs(date_sub('day', ld, rd)) / 365.0::DOUBLE)", "ld", "rd")
 similarity("sim_max", _parts, m.max_(lev, eq), _PARTS, f"greatest({LEV}, {EQ})")
 similarity("sim_min", _parts, m.min_(lev, eq), _PARTS, f"least({LEV}, {EQ})")
