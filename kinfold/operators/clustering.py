@@ -202,7 +202,11 @@ def refine(clusters: DataFrame, classified: DataFrame, max_small: int = MAX_SMAL
     to two records stay, of up to ``max_small`` are searched exhaustively, larger ones greedily.
     """
     kind = clusters.schema["record_id"].dataType.simpleString()
-    side = clusters.select(F.col("record_id"), "cluster_id")
+    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"), F.min("record_id").alias("_first"))
+    sized = cut_lineage(clusters.join(sizes, "cluster_id"))
+    kept = sized.where("_n <= 2").select(F.col("_first").alias("cluster_id"), "record_id")
+    searched = sized.where("_n > 2").select("cluster_id", "record_id")
+    side = fresh(searched.select("record_id", "cluster_id"))
     e = classified.select("left_id", "right_id", "result.classification", "result.confidence")
     e = e.join(side.withColumnsRenamed({"record_id": "left_id"}), "left_id").join(side.withColumnsRenamed({"record_id": "right_id", "cluster_id": "_c"}), "right_id").where("cluster_id = _c").drop("_c")
 
@@ -220,7 +224,7 @@ def refine(clusters: DataFrame, classified: DataFrame, max_small: int = MAX_SMAL
             first.setdefault(l, x)
         return pd.DataFrame({"cluster_id": [first[l] for l in label], "record_id": ids})
 
-    return fresh(clusters).groupBy("cluster_id").cogroup(fresh(e).groupBy("cluster_id")).applyInPandas(split, f"cluster_id {kind}, record_id {kind}")
+    return kept.union(fresh(searched).groupBy("cluster_id").cogroup(fresh(e).groupBy("cluster_id")).applyInPandas(split, f"cluster_id {kind}, record_id {kind}"))
 
 
 def refined_transitive_closure(classified: DataFrame, classify_pairs, previous: DataFrame | None = None, max_small: int = MAX_SMALL) -> DataFrame:

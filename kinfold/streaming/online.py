@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators import candidates, clustering
+from kinfold.operators import candidates, clustering, fusion
 from kinfold.plans.pipeline import DuplicateDetection
 from kinfold.plans.runtime import cut_lineage
 from kinfold.sources.tables import read_version, upsert
@@ -58,3 +58,52 @@ class OnlineDetection:
 
         writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append")
         return writer.trigger(**(options or {"availableNow": True})).start()
+
+
+@dataclass(frozen=True)
+class OnlineDeduplication:
+    """Online detection, then fusion: every batch re-emits the representations that it changed.
+
+    A representation is a row of the records' columns with ``errors`` and ``n_records``, keyed by ``cluster_id``: the
+    smallest id of its records. New records without duplicates represent themselves.
+    """
+
+    online: OnlineDetection
+    merging: fusion.Merge
+    source_col: str | None = None
+    ts_col: str | None = None
+    weights: dict[str, float] | None = None
+
+    def process(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The new or changed representations, which are also upserted under ``path``/representations."""
+        o, i = self.online, self.online.detection.id_col
+        names, kinds = [f.name for f in self.merging.fields], batch.schema
+        changed = o.process(batch, batch_id)
+        records = read_version(batch.sparkSession, f"{o.path}/records")[1]
+        members = records.join(changed.withColumnRenamed("record_id", i), i)
+        fused = fusion.fuse(members, "cluster_id", self.merging, self.source_col, self.ts_col, "_arrival", self.weights)
+        merged = fused.select("cluster_id", *[F.col(f"fused.{c}").alias(c) if c in names else F.lit(None).cast(kinds[c].dataType).alias(c) for c in batch.columns], "errors", F.size("originals").alias("n_records"))
+        alone = batch.join(changed.select(F.col("record_id").alias(i)), i, "left_anti")
+        clustered = read_version(batch.sparkSession, f"{o.path}/clusters")[1].select(F.col("record_id").alias(i))
+        alone = alone.join(clustered, i, "left_anti").select(F.col(i).alias("cluster_id"), *batch.columns, F.array().cast("array<string>").alias("errors"), F.lit(1).alias("n_records"))
+        out = cut_lineage(merged.unionByName(alone))
+        upsert(batch.sparkSession, f"{o.path}/representations", out, "cluster_id", batch_id)
+        return out
+
+    def representations(self, spark) -> DataFrame:
+        """The current representation of every record: those of clusters that went up in others are left out."""
+        rows = read_version(spark, f"{self.online.path}/representations")[1]
+        now = read_version(spark, f"{self.online.path}/clusters")[1]
+        stale = now.where("record_id <> cluster_id").select(F.col("record_id").alias("cluster_id"))
+        return rows.join(stale, "cluster_id", "left_anti")
+
+    def start(self, stream: DataFrame, checkpoint: str, sink=None, **options):
+        """A running query; ``sink(representations, batch_id)`` gets what each batch changed."""
+
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            out = self.process(batch, batch_id)
+            if sink is not None:
+                sink(out, batch_id)
+
+        writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append")
+        return writer.trigger(**(options or {"availableNow": True})).start()

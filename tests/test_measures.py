@@ -109,3 +109,11 @@ def test_scores_are_bounded_and_symmetric(a, b):
         s = x.score(a, b)
         assert s is None or -1e-9 <= s <= 1 + 1e-9
         assert near(s, x.score(b, a)) or not x.symmetric
+
+
+def test_exact_beider_morse(spark):
+    df = spark.createDataFrame([("Meyer",), ("Maier",), ("Smith",), (None,)], "name string")
+    got = {r.name: r.code for r in p.with_exact_beider_morse(df, "name", "code").collect()}
+    assert got["Meyer"] == got["Maier"] != got["Smith"] and got[None] is None
+    with pytest.raises(ValueError):
+        p.with_exact_beider_morse(df, "name", "code", 2)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from kinfold.functions import measures as m
 from kinfold.operators import candidates, classify, fusion
 from kinfold.plans import person
-from kinfold.plans.pipeline import DuplicateDetection
+from kinfold.plans.pipeline import Deduplication, DuplicateDetection
 from kinfold.sources import tables
-from kinfold.streaming.online import OnlineDetection
+from kinfold.streaming.online import OnlineDeduplication, OnlineDetection
 
 SYLLABLES = ["ka", "ro", "mi", "ven", "tal", "shu", "dor", "lin", "pex", "gru", "bal", "nok"]
 
@@ -117,3 +117,19 @@ def test_oracle_detection(spark):
     got = replace(found, classifier=classify.OracleClassifier(gold)).clusters(df).collect()
     assert {(r.cluster_id, r.record_id) for r in got} == {(0, 0), (0, 1), (2, 2), (2, 3)}
     assert fusion.dont_fuse(df).count() == 0 and fusion.accept_all(df).count() == 6
+
+
+def test_online_deduplication(spark, tmp_path):
+    keys, found = detection()
+    f = fusion
+    merging = f.merge().field("id").with_(f.min_()).field("name").with_(f.longest(), f.min_()).field("arrival").with_(f.max_())
+    path = str(tmp_path / "s")
+    online = OnlineDeduplication(OnlineDetection(found, keys, path, "arrival", 6), merging)
+    schema = "id long, name string, arrival long"
+    first = online.process(spark.createDataFrame([(1, "abcdefghij", 1), (2, "zzzzzz", 2), (3, "abcdefghi", 3)], schema), 0)
+    assert {(r.cluster_id, r.name, r.n_records) for r in first.collect()} == {(1, "abcdefghij", 2), (2, "zzzzzz", 1)}
+    second = online.process(spark.createDataFrame([(0, "zzzzzzz", 4), (5, "mmmm", 5)], schema), 1)
+    assert {(r.cluster_id, r.name, r.arrival, r.n_records) for r in second.collect()} == {(0, "zzzzzzz", 4, 2), (5, "mmmm", 5, 1)}
+    assert {(r.id, r.name) for r in online.representations(spark).collect()} == {(0, "zzzzzzz"), (1, "abcdefghij"), (5, "mmmm")}
+    batch = Deduplication(found, merging).deduplicate(spark.createDataFrame([(1, "abcdefghij", 1), (2, "zzzzzz", 2), (3, "abcdefghi", 3), (0, "zzzzzzz", 4), (5, "mmmm", 5)], schema))
+    assert {(r.id, r.name) for r in batch.collect()} == {(0, "zzzzzzz"), (1, "abcdefghij"), (5, "mmmm")}
