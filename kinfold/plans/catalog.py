@@ -469,8 +469,14 @@ def document_deduplication() -> Deduplication:
     text = F.col("text")
     keys = [_K("text", "lang", text), _K("end", "lang", F.reverse(text))]
     rules = classify.RuleBasedClassifier().default_rule(m.jaccard(distinct=True).of("words"), 0.8)
-    hashed = lambda df: df.select("doc_id", F.array_distinct(F.transform(t.words()(F.col("text")), lambda w: F.xxhash64(w))).alias("words"))
-    detection = DuplicateDetection(lambda df: candidates.sorted_neighborhood(df, keys, "doc_id", 5), rules, "doc_id", ("words",), prepare=hashed)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        found = F.array_distinct(F.transform(t.words()(F.col("text")), lambda w: F.xxhash64(w)))
+        return df.select("doc_id", found.alias("words")).withColumn("n", F.size("words"))
+
+    # Sets of which one has less than 0.8 of the other's elements cannot share 0.8 of all.
+    alike = (("n",), lambda a, b: F.least(a["n"], b["n"]) >= 0.8 * F.greatest(a["n"], b["n"]))
+    detection = DuplicateDetection(lambda df: candidates.sorted_neighborhood(df, keys, "doc_id", 5), rules, "doc_id", ("words",), prepare=hashed, prune=alike)
     f = fusion
     merging = f.merge().field("doc_id").with_(f.min_()).field("text").with_(f.longest(), f.min_()).field("lang").with_(f.vote(), f.min_()).field("source").with_(f.vote(), f.min_()).field("n_chars").with_(f.max_())
     return Deduplication(detection, merging)

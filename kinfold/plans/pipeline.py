@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import candidates, classify, clustering, fusion
@@ -17,8 +17,9 @@ class DuplicateDetection:
     """Candidates, classification, handling of possible duplicates, clustering.
 
     ``select`` maps records to (left_id, right_id); ``prepare`` maps them to the id and the columns that are compared,
-    so that what depends on one record (words, codes) is computed once a record and not once a pair; ``refine`` splits
-    closures; ``previous`` clusters are never split.
+    so that what depends on one record (words, codes) is computed once a record and not once a pair; ``prune`` names
+    small columns and a condition on them without which a pair cannot be a duplicate, so that the large columns travel
+    only for the pairs that are left; ``refine`` splits closures; ``previous`` clusters are never split.
     """
 
     select: Callable[[DataFrame], DataFrame]
@@ -29,10 +30,16 @@ class DuplicateDetection:
     refine: bool = False
     max_small: int = clustering.MAX_SMALL
     prepare: Callable[[DataFrame], DataFrame] | None = None
+    prune: tuple[tuple[str, ...], Callable[[Column, Column], Column]] | None = None
 
     def classify_pairs(self, pairs: DataFrame, records: DataFrame) -> DataFrame:
         records = records if self.prepare is None else cut_lineage(self.prepare(records))
-        joined = candidates.with_records(pairs.select("left_id", "right_id"), records, self.id_col, self.columns)
+        pairs = pairs.select("left_id", "right_id")
+        if self.prune is not None:
+            names, possible = self.prune
+            small = candidates.with_records(pairs, records, self.id_col, names)
+            pairs = small.where(possible(F.col("left"), F.col("right"))).select("left_id", "right_id")
+        joined = candidates.with_records(pairs, records, self.id_col, self.columns)
         return classify.handle_possible(self.classifier.classify(joined), self.handler)
 
     def classified(self, records: DataFrame) -> DataFrame:
@@ -68,9 +75,10 @@ class Deduplication:
         clusters = cut_lineage(self.detection.clusters(records, previous))
         members = records.join(clusters.withColumnRenamed("record_id", i), i)
         fused = self.accept(fusion.fuse(members, "cluster_id", self.merging, self.source_col, self.ts_col, self.arrival_col, self.weights))
-        fused = cut_lineage(fused)
         names = [f.name for f in self.merging.fields]
-        merged = fused.select(*[F.col(f"fused.{c}").alias(c) if c in names else F.lit(None).cast(records.schema[c].dataType).alias(c) for c in records.columns], "errors", F.size("originals").alias("n_records"))
-        done = clusters.join(fused.select("cluster_id"), "cluster_id", "left_semi").select(F.col("record_id").alias(i))
+        values = [F.col(f"fused.{c}").alias(c) if c in names else F.lit(None).cast(records.schema[c].dataType).alias(c) for c in records.columns]
+        # Only the merged record is kept; the originals stay where they are.
+        merged = cut_lineage(fused.select(F.col("cluster_id").alias("_cluster"), *values, "errors", F.size("originals").alias("n_records")))
+        done = clusters.join(merged.select(F.col("_cluster").alias("cluster_id")), "cluster_id", "left_semi").select(F.col("record_id").alias(i))
         rest = records.join(done, i, "left_anti").select(*records.columns, F.array().cast("array<string>").alias("errors"), F.lit(1).alias("n_records"))
-        return rest.union(merged)
+        return rest.union(merged.drop("_cluster"))
