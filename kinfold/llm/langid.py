@@ -18,7 +18,7 @@ from kinfold.plans.runtime import table
 BUCKET_BITS, ORDERS, DIM = 15, (3, 4, 5), 12
 #: Bound of the training sample, in rows of each language; every row outside it is only predicted.
 PER_LANGUAGE = 800
-EPOCHS, RATE, SEED = 12, 4.0, 7
+EPOCHS, RATE, SEED = 4, 10.0, 7
 UNKNOWN = "und"
 
 _LETTER = word_table()
@@ -93,6 +93,7 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     fit, held = [usable[i] for i in order[:cut]], [usable[i] for i in order[cut:]] or usable
     emb = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIM)) / DIM
     out = np.zeros((DIM, len(langs)))
+    epochs = max(epochs, min(12, 12_000 // max(1, len(fit))))
     steps, done = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
