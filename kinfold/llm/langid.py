@@ -26,34 +26,33 @@ _LETTER[0x30:0x3A] = 0
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 
-def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and number of the text of every subword, by text."""
+def subwords(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the buckets of all subwords in order, and where those of each text begin (one more entry than texts)."""
     joined = b"\0" + b"\0".join(texts) + b"\0"
     c = _LETTER[np.frombuffer(joined, np.uint8)]
+    inner = c != 0
     wide = c.astype(np.uint32)
-    gap = c == 0
-    ends = np.cumsum([len(x) + 1 for x in texts])
-    inner = ~gap
-    found, owners = [], []
+    ends = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in texts], out=ends[1:])
+    found = []
     for n in ORDERS:
         m = len(c) - n + 1
         if m <= 0:
+            found.append((np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)))
             continue
         ok = inner[1 : 1 + m].copy()
         for j in range(2, n - 1):
             ok &= inner[j : j + m]
-        at = np.flatnonzero(ok)
-        h = np.full(len(at), n * 0x51ED270B & 0xFFFFFFFF, np.uint32)
+        h = np.full(m, n * 0x51ED270B & 0xFFFFFFFF, np.uint32)
         for j in range(n):
-            h = (h ^ wide[at + j]) * np.uint32(_MULTIPLIERS[j])
+            h ^= wide[j : j + m]
+            h *= np.uint32(_MULTIPLIERS[j])
+        h = h[ok]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        found.append((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32))
-        owners.append(np.searchsorted(ends, at, side="right").astype(np.int32))
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    buckets, owner = np.concatenate(found), np.concatenate(owners)
-    return buckets, owner
+        before = np.concatenate([[0], np.cumsum(ok)])
+        found.append((h >> np.uint32(32 - BUCKET_BITS), before[np.minimum(ends, m)]))
+    return found
 
 
 def has_letter(raw: bytes) -> bool:
@@ -69,7 +68,7 @@ def _bags(df: DataFrame, label: str, text: str) -> list[tuple[str, np.ndarray, n
         for batch in batches:
             rows = []
             for raw in texts_as_bytes(batch.column(1)):
-                b, _ = subwords([raw])
+                b = np.concatenate([x for x, _ in subwords([raw])]).astype(np.int64)
                 n = np.bincount(b, minlength=1)
                 at = np.flatnonzero(n)
                 rows.append((at.astype(np.uint16).tobytes(), (n[at] / max(1, len(b))).astype(np.float32).tobytes()))
@@ -139,7 +138,8 @@ def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
     ``score`` is the calibrated probability of ``lang_pred``. Null texts and texts without a letter are ``und`` with
     score 0 and not accepted, and so is all if nothing was learned. Repeated and null keys keep their rows.
     """
-    langs, scores, temperature, reject = model["langs"], model["scores"], model["temperature"], model["reject"]
+    langs, temperature, reject = model["langs"], model["temperature"], model["reject"]
+    by_lang = np.ascontiguousarray(model["scores"].T.astype(np.float64))
 
     def run(batches):
         for batch in batches:
@@ -147,9 +147,14 @@ def predict(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
             names, values = [], []
             for a, b in chunks(texts):
                 part = texts[a:b]
-                bucket, owner = subwords(part)
-                n = np.bincount(owner, minlength=len(part))
-                z = np.stack([np.bincount(owner, scores[:, k][bucket], len(part)) for k in range(len(langs))], 1) if langs else np.zeros((len(part), 0))
+                n, z = np.zeros(len(part), np.int64), np.zeros((len(part), len(langs)))
+                for bucket, first in subwords(part):
+                    own = np.diff(first)
+                    n += own
+                    full = own > 0
+                    if full.any():
+                        for k in range(len(langs)):
+                            z[full, k] += np.add.reduceat(by_lang[k][bucket], first[:-1][full])
                 for i, raw in enumerate(part):
                     if not langs or not has_letter(raw):
                         names.append(UNKNOWN)
