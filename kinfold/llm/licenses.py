@@ -125,8 +125,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[s
         F.max("pos").alias("hi"),
     )
     base = F.col("template") < n_phrases
-    w = Window.partitionBy("row", "template").orderBy("lo", "diagonal")
-    apart = base | F.lag("diagonal").over(w).isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > NEAR)
+    # By diagonal alone: votes of passages that a template repeats in itself lie on far diagonals, whose positions fall between the halves of an edited copy.
+    w = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = base | F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > NEAR)
     spans = (
         diagonals.withColumn("apart", F.when(apart, 1).otherwise(0))
         .withColumn("span", F.sum("apart").over(w))

@@ -34,6 +34,20 @@ def test_against_brute_force(spark):
     assert "bsd-text" in got[4].labels and "gpl-short" in got[5].labels and got[6].labels == "" and got[8].score == 0
 
 
+def test_one_word_more_at_every_place(spark):
+    texts = []
+    for label in ("bsd-text", "apache-notice"):
+        words = licenses.TEMPLATES[label].split()
+        texts += [(label, " ".join(["head", *words, "tail"]))]
+        texts += [(label, " ".join(["head", *words[:at], "inserted", *words[at:], "tail"])) for at in range(len(words) + 1)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    lost = [(label, t) for i, (label, t) in enumerate(texts) if label not in got[i].labels.split(",")]
+    assert not lost
+    assert got[0].score == 1 and [s.label for s in got[0].spans] == ["bsd-text"]
+    assert all(sum(s.label == label for s in got[i].spans) == 1 for i, (label, _) in enumerate(texts))
+
+
 def test_odd_rows(odd, empty):
     got = licenses.scan(odd).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(i), base(t)[0]) for i, t, *_ in ODD)
