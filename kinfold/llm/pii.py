@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from kinfold.plans.runtime import table
 
 ROUNDS = 8
+#: Characters up to which a secret is permuted as two strings; longer ones go in pieces, in time linear in their length.
+SHORT = 128
 
 #: What is looked for, first match first. Runs are possessive and start at their first character, so scanning is linear.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![A-Za-z0-9])[0-9a-f]{18,128}+(?![A-Za-z0-9])(?<=[a-f][0-9a-f]{0,128})",
+    "secret": r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{18,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -44,22 +46,40 @@ def feistel_number(n: str, a: str, b: str, tweak: str) -> str:
     return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> s.x * ({b}) + s.y)"
 
 
+def _turn(letters: int) -> str:
+    """SQL for the string ``h`` with the stream ``z``, three hex digits a character, added."""
+    k = "cast(conv(substr(z, 3 * i - 2, 3), 16, 10) as int)"
+    c = "ascii(substr(h, i, 1))"
+    return f"array_join(transform(sequence(1, length(h)), i -> case when {c} between 48 and 57 then char(48 + ({c} - 48 + {k}) % 10) when {c} between 97 and {96 + letters} then char(97 + ({c} - 97 + {k}) % {letters}) when {c} between 65 and 90 then char(65 + ({c} - 65 + {k}) % 26) else substr(h, i, 1) end), '')"
+
+
 def feistel_string(text: str, tweak: str, letters: int = 26) -> str:
     """SQL for a keyed permutation of strings: digits stay digits, letters stay letters of their case, all else stays.
 
     The halves are vectors; each round adds a keyed stream made from one half to the other, each character
     modulo the size of its class. Classes do not change, so every round can be undone.
     """
+    turn = _turn(letters)
     stream = lambda half, n: f"array_join(transform(sequence(0, ({n} - 1) div 20), j -> substr(sha2(concat({tweak}, '|', r, '|', j, '|', {half}), 256), 1, 60)), '')"
-    k = "cast(conv(substr(z, 3 * i - 2, 3), 16, 10) as int)"
-    c = "ascii(substr(h, i, 1))"
-    turn = f"array_join(transform(sequence(1, length(h)), i -> case when {c} between 48 and 57 then char(48 + ({c} - 48 + {k}) % 10) when {c} between 97 and {96 + letters} then char(97 + ({c} - 97 + {k}) % {letters}) when {c} between 65 and 90 then char(65 + ({c} - 65 + {k}) % 26) else substr(h, i, 1) end), '')"
     added = lambda half, other: f"if(length({half}) = 0, '', {_let(half, 'h', _let(stream(other, 'length(h)'), 'z', turn))})"
     step = f"if(r % 2 = 0, named_struct('x', {added('s.x', 's.y')}, 'y', s.y), named_struct('x', s.x, 'y', {added('s.y', 's.x')}))"
     start = f"named_struct('x', substr({text}, 1, length({text}) div 2), 'y', substr({text}, length({text}) div 2 + 1))"
     return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> concat(s.x, s.y))"
 
 
+def _pieces(text: str) -> str:
+    return f"regexp_extract_all({text}, '.{{1,20}}', 0)"
+
+
+def feistel_pieces(text: str, tweak: str, letters: int = 26) -> str:
+    """``feistel_string`` for long strings: the halves are arrays of pieces of 20 characters, and a stream is made from the other half's hash."""
+    z = "substr(sha2(concat({t}, '|', r, '|', j, '|', o), 256), 1, 60)".replace("{t}", tweak)
+    added = lambda half, other: _let(f"sha2(array_join({other}, ''), 256)", "o", f"transform({half}, (h, j) -> {_let(z, 'z', _turn(letters))})")
+    step = f"if(r % 2 = 0, named_struct('x', {added('s.x', 's.y')}, 'y', s.y), named_struct('x', s.x, 'y', {added('s.y', 's.x')}))"
+    start = "named_struct('x', slice(p, 1, size(p) div 2), 'y', slice(p, size(p) div 2 + 1, size(p)))"
+    return _let(_pieces(text), "p", f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> array_join(concat(s.x, s.y), ''))")
+
+
 def _digits(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
 
@@ -143,12 +163,15 @@ def _phone(m: str, key: str) -> str:
     return _let(_digits(m), "d", f"if(length(d) < 7 or length(d) > 15, {m}, {_let(plain, 'q', _refill(m, 'q'))})")
 
 
+def _valid_iban(m: str) -> str:
+    return _mod97(f"concat(substr({m}, 5), substr({m}, 1, 4))") + " = 1"
+
+
 def _iban(m: str, key: str) -> str:
     """The account part is permuted, then the two check digits are made right."""
-    valid = _mod97(f"concat(substr({m}, 5), substr({m}, 1, 4))") + " = 1"
     moved = feistel_string(f"substr({m}, 5)", f"concat({key}, 'iban', substr({m}, 1, 2))")
     zero = _mod97(f"concat(p, substr({m}, 1, 2), '00')")
-    return f"if({valid}, {_let(moved, 'p', f'''concat(substr({m}, 1, 2), lpad(98 - {zero}, 2, '0'), p)''')}, {m})"
+    return f"if({_valid_iban(m)}, {_let(moved, 'p', f'''concat(substr({m}, 1, 2), lpad(98 - {zero}, 2, '0'), p)''')}, {m})"
 
 
 def _email(m: str, key: str) -> str:
@@ -158,14 +181,26 @@ def _email(m: str, key: str) -> str:
     return f"concat({feistel_string(name, tweak)}, '@', {domain})"
 
 
+def _secret(m: str, key: str) -> str:
+    """The lower-cased hex digits are permuted, then each letter gets its case back, so that a secret has one pseudonym in every case."""
+    tweak = f"concat({key}, 'secret')"
+    moved = f"if(length(w) <= {SHORT}, {feistel_string('w', tweak, 6)}, {feistel_pieces('w', tweak, 6)})"
+    mixed = f"array_join(zip_with({_pieces(m)}, {_pieces('v')}, (a, b) -> array_join(transform(sequence(1, length(a)), i -> if(substr(a, i, 1) between 'A' and 'F', upper(substr(b, i, 1)), substr(b, i, 1))), '')), '')"
+    cased = f"case when {m} = w then v when {m} = upper(w) then upper(v) else {mixed} end"
+    return _let(f"lower({m})", "w", _let(moved, "v", cased))
+
+
 def _kinds(m: str) -> list[tuple[str, str]]:
+    """What of the patterns a found value is. Upper-case hex may look like an IBAN and is one only if its check digits are right."""
+    hexadecimal = f"{m} rlike '^[0-9A-Fa-f]{{18,}}$'"
+    account = f"{m} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' and {_valid_iban(m)}"
     return [
         ("email", f"{m} like '%@%'"),
-        ("iban", f"{m} rlike '^[A-Z]{{2}}'"),
+        ("iban", f"{m} rlike '^[A-Z]{{2}}' and (not {hexadecimal} or {account})"),
         ("ip", f"{m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$'"),
         ("date", f"{m} rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$'"),
         ("ssn", f"{m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'"),
-        ("secret", f"{m} rlike '^[0-9a-f]{{18,}}$' and {m} rlike '[a-f]'"),
+        ("secret", f"{hexadecimal} and {m} rlike '[A-Fa-f]'"),
         ("phone", f"{m} rlike '^[+(]' or {m} rlike '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-]?[0-9]{{4}}$'"),
         ("card", "true"),
     ]
@@ -178,7 +213,7 @@ def pseudonym_sql(m: str, key: str) -> str:
         "ip": _ip(m, key),
         "date": _date(m, key),
         "ssn": _ssn(m, key),
-        "secret": feistel_string(m, f"concat({key}, 'secret')", 6),
+        "secret": _secret(m, key),
         "phone": _phone(m, key),
         "card": _card(m, key),
     }

@@ -45,6 +45,28 @@ def test_values_keep_their_formats(run):
     assert run(["see 4041894974608795"], "other") != [f"see {one['4041894974608795']}"]
 
 
+def test_secrets_of_any_case_and_length(run, spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(low))
+    long = low * 3 + "0123456789"
+    values = [low, low.upper(), mixed, long, long.upper(), "".join(c.upper() if i % 3 else c for i, c in enumerate(long)), low * 5000, "AB12CDEF0123456789", "AB" + "0123456789" * 5, "Ab" + "0123456789" * 2]
+    got = [g[4:-7] for g in run([f"see {v}, there" for v in values])]
+    for v, g in zip(values, got, strict=True):
+        assert g != v and shape(g) == shape(v) and re.fullmatch("[0-9A-Fa-f]+", g), (v[:200], g[:200])
+    assert got[0].upper() == got[1] and got[2].lower() == got[0] and got[3].upper() == got[4] and got[5].lower() == got[3]
+    assert got[6][:40] != got[6][40:80]
+    iban, part = run(["DE89370400440532013000", "x" + low.upper()])
+    assert iban[:2] == "DE" and iban[4:] != "370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert part == "x" + low.upper()
+    kinds = pii.pseudonymize(spark.createDataFrame([(f"TOKEN = \"{low.upper()}\" {long}",)], "text string"), found="found").selectExpr("found.kind AS kind").first().kind
+    assert kinds == ["secret", "secret"]
+
+
+def test_long_secrets_are_permuted(spark):
+    s = spark.range(10_000).select(F.concat(F.lit("a" * 130), F.lpad(F.col("id").cast("string"), 4, "0")).alias("s"))
+    assert s.select(F.expr(pii.feistel_pieces("s", "'t'", 6)).alias("x")).where("x rlike '^[a-f]{130}[0-9]{4}$'").distinct().count() == 10_000
+
+
 def test_invalid_values_stay(run):
     texts = ["card 4041894974608796", "ip 999.1.1.1 and 1.2.3.4.5", "day 2021-02-30", "ssn 000-12-1234 and 666-12-1234", "GB82WEST12345698765431", "12345", "v1.2.3", None, "", "plain"]
     assert run(texts) == texts
