@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,12 @@ def tokens_needed(threshold: float = THRESHOLD) -> int:
     return max(1, math.floor(TOKENS * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / TOKENS))))
 
 
+def ratio(threshold: float) -> tuple[int, int]:
+    """Numerator and denominator of the threshold, so that similarities are compared in whole numbers."""
+    f = Fraction(threshold).limit_denominator(1_000_000)
+    return f.numerator, f.denominator
+
+
 def embed(s: np.ndarray) -> np.ndarray:
     """Minwise tokens of a set of hashes."""
     low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
@@ -151,6 +158,7 @@ def _deeper(rows: DataFrame) -> DataFrame:
 
 def bucket_edges(rep: np.ndarray, n: np.ndarray, tokens: np.ndarray, threshold: float, need: int) -> list[tuple[int, int]]:
     """Spanning edges of the candidate graph of one bucket, smallest node first. Nodes leave once they are reached, so dense buckets cost little."""
+    p, q = ratio(threshold)
     order = np.argsort(rep, kind="stable")
     rep, n, tokens = rep[order], n[order], tokens[order]
     open_ = np.arange(len(rep))
@@ -161,7 +169,7 @@ def bucket_edges(rep: np.ndarray, n: np.ndarray, tokens: np.ndarray, threshold:
         while queue and len(open_):
             x = queue.pop()
             low, high = np.minimum(n[open_], n[x]), np.maximum(n[open_], n[x])
-            near = (low >= threshold * high) & ((tokens[open_] == tokens[x]).sum(1) >= need)
+            near = (q * low >= p * high) & ((tokens[open_] == tokens[x]).sum(1) >= need)
             found = open_[near]
             open_ = open_[~near]
             edges += [(int(rep[root]), int(rep[y])) for y in found if rep[y] != rep[root]]
@@ -245,7 +253,7 @@ def _in_block_pairs(rest: DataFrame, bucket: int) -> DataFrame:
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections. Tokens of many sets go through matrix products, the others are counted pair by pair."""
     m = len(sets)
-    inter = np.zeros((m, m), np.float32)
+    inter = np.zeros((m, m), np.int32)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     many = max(8, m // 16)
@@ -257,7 +265,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
         pick = (col >= s) & (col < s + 2048)
         x = np.zeros((m, min(2048, len(dense) - s)), np.float32)
         x[owner[pick], col[pick] - s] = 1
-        inter += x @ x.T
+        inter += (x @ x.T).astype(np.int32)
     order = np.argsort(token, kind="stable")
     by_token, by_owner = token[order], owner[order]
     first = np.searchsorted(by_token, np.arange(len(count)))
@@ -268,7 +276,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
         for s in range(0, len(starts), step):
             at = by_owner[starts[s : s + step, None] + np.arange(f)]
             a, b = at[:, i].ravel(), at[:, j].ravel()
-            add = np.bincount(a * m + b, minlength=m * m).reshape(m, m).astype(np.float32) if m <= 1024 else None
+            add = np.bincount(a * m + b, minlength=m * m).reshape(m, m).astype(np.int32) if m <= 1024 else None
             if add is None:
                 np.add.at(inter, (a, b), 1)
                 np.add.at(inter, (b, a), 1)
@@ -283,9 +291,12 @@ def exact_links(rep: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], sid
 
     ``side`` 2: all pairs count; 0 and 1: only pairs between these sides.
     """
-    size = np.array([len(s) for s in sets], np.float64)
+    p, q = ratio(threshold)
+    size = np.array([len(s) for s in sets], np.int64)
     inter = intersections(sets)
-    linked = inter * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
+    linked = np.empty(inter.shape, bool)
+    for s in range(0, len(sets), 256):
+        linked[s : s + 256] = inter[s : s + 256].astype(np.int64) * (p + q) >= p * (size[s : s + 256, None] + size)
     np.fill_diagonal(linked, False)
     if side[0] != 2:
         linked &= side[:, None] != side[None, :]

@@ -64,6 +64,26 @@ def test_against_brute_force(spark, bucket, whole, deepest):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("k", [3, 6, 7, 8, 11, 100, 1999])
+def test_similarity_of_exactly_the_threshold(k):
+    a = np.arange(5 * k, dtype=np.uint64)
+    sets = [a, a[: 4 * k], a[: 4 * k - 1]]
+    links, label = j.exact_links(np.arange(3), np.ones(3), sets, np.array([2, 2, 2]), 0.8)
+    assert links.tolist() == [1, 2, 1] and label.tolist() == [0, 0, 0]
+    links, label = j.exact_links(np.arange(2), np.ones(2), [sets[0], sets[2]], np.array([2, 2]), 0.8)
+    assert links.tolist() == [0, 0] and label.tolist() == [0, 1]
+
+
+def test_exact_ties_against_brute_force(spark):
+    rows = []
+    for k in (3, 6, 7, 8, 10, 11, 25):
+        words = [f"w{k}x{i}" for i in range(5 * k + 4)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: 4 * k + 4]))]
+    want = brute(rows)
+    assert all(n == 1 for _, _, n in want.values())
+    assert {r.doc_id: (r.class_id, r.copy_of, r.n_links) for r in j.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_odd_rows(spark, odd, empty):
     got = j.jaccard_join(odd).collect()
     assert len(got) == len(ODD)
