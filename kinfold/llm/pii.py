@@ -3,30 +3,52 @@
 Found values are validated (check digits, ranges, calendar) and permuted within their format, so a value gets
 the same pseudonym in every document and in every notation, and a pseudonym is again a valid value. Everything
 runs inside one projection: no shuffle, no Python.
+
+The key comes from the setting ``KEY_SETTING``; it stands, hashed, in the plan as ``kinfold-key:`` and 64 hex digits, so
+that ``spark.sql.redaction.string.regex`` can hide it in event logs and explanations.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.plans.runtime import table
 
+#: Names the secret key. Without it each application draws a key of its own: values are linked within it, not beyond.
+KEY_SETTING = "spark.kinfold.pseudonym.key"
 ROUNDS = 8
 #: Characters up to which a secret is permuted as two strings; longer ones go in pieces, in time linear in their length.
 SHORT = 128
 
-#: What is looked for, first match first. Runs are possessive and start at their first character, so scanning is linear.
+# Lengths of account numbers by country (ISO 13616), for those written with blanks.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+# Beginnings of issued access tokens, which stay.
+TOKEN_HEADS = r"A[KS]IA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza"
+#: Words before a value that is a secret whatever it looks like, up to the value.
+LABELLED = r"(?i:passwords?|passwd|pwd|api[_-]?key|access[_-]?key|secret|token)[\"']?+\s{0,3}+[=:]\s{0,3}+[\"']?+"
+
+#: What is looked for, first match first. All runs are possessive and start at their first character, and no group repeats
+#: without a bound but possessively, so scanning is linear and needs no stack, whatever the text is.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{18,}+(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2} [A-Z0-9]{4} )(?:" + "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{8,15}+",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9])\+[1-9](?:[ .()-]{0,2}+[0-9]){7,14}(?![0-9])|(?<![0-9A-Za-z+_]|[0-9][.,-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z_]|[.,-][0-9])",
 }
+# A labelled value that is of another kind is left to that kind, so that it has one pseudonym with and without a label.
+PATTERNS["labelled"] = rf"(?<![A-Za-z0-9]){LABELLED}(?!{PATTERNS['email']}|{PATTERNS['secret']}|{PATTERNS['token']}|{PATTERNS['iban']}|[0-9+(][0-9 ()./-]*+(?![A-Za-z0-9_]))[^\s\"'<>,;]{{6,}}+"
 
 
 def _sql(s: str) -> str:
@@ -68,7 +90,7 @@ def feistel_string(text: str, tweak: str, letters: int = 26) -> str:
 
 
 def _pieces(text: str) -> str:
-    return f"regexp_extract_all({text}, '.{{1,20}}', 0)"
+    return f"regexp_extract_all({text}, '(?s).{{1,20}}', 0)"
 
 
 def feistel_pieces(text: str, tweak: str, letters: int = 26) -> str:
@@ -80,14 +102,26 @@ def feistel_pieces(text: str, tweak: str, letters: int = 26) -> str:
     return _let(_pieces(text), "p", f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> array_join(concat(s.x, s.y), ''))")
 
 
+def _one(c: str, tweak: str) -> str:
+    """SQL for a keyed permutation of a single digit or letter; as strings of one character have no second half, they are permuted as numbers."""
+    among = lambda first, half: f"char({first} + {feistel_number(f'ascii({c}) - {first}', '2L', half, tweak)})"
+    return f"case when {c} between '0' and '9' then {among(48, '5L')} when {c} between 'a' and 'z' then {among(97, '13L')} when {c} between 'A' and 'Z' then {among(65, '13L')} else {c} end"
+
+
+def permuted(text: str, tweak: str, letters: int = 26) -> str:
+    """SQL for a keyed permutation of strings of any length: their digits and letters are permuted by class, all else stays in its place."""
+    short = _let("regexp_replace(t, '[^A-Za-z0-9]', '')", "w", _let(f"if(length(w) = 1, {_one('w', tweak)}, {feistel_string('w', tweak, letters)})", "u", f"if(length(u) = length(t), u, {_refill('t', 'u', 'A-Za-z0-9')})"))
+    return _let(text, "t", f"if(length(t) <= {SHORT}, {short}, {feistel_pieces('t', tweak, letters)})")
+
+
 def _digits(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
 
 
-def _refill(form: str, digits: str) -> str:
-    """The digits one by one in the places of the digits of ``form``."""
-    at = f"length(regexp_replace(substr({form}, 1, i), '[^0-9]', ''))"
-    return f"array_join(transform(sequence(1, length({form})), i -> if(substr({form}, i, 1) between '0' and '9', substr({digits}, {at}, 1), substr({form}, i, 1))), '')"
+def _refill(form: str, chars: str, places: str = "0-9") -> str:
+    """The characters ``chars`` one by one in those places of ``form`` that hold one of the class."""
+    step = f"if(c rlike '[{places}]', named_struct('o', concat(s.o, substr({chars}, s.k, 1)), 'k', s.k + 1), named_struct('o', concat(s.o, c), 'k', s.k))"
+    return f"aggregate(regexp_extract_all({form}, '(?s).', 0), named_struct('o', '', 'k', 1), (s, c) -> {step}, s -> s.o)"
 
 
 def _luhn(digits: str) -> str:
@@ -155,30 +189,51 @@ def _card(m: str, key: str) -> str:
     return _let(_digits(m), "d", f"if({_luhn('d')} % 10 <> 0 or d rlike '^0', {m}, {_let(checked, 'q', _refill(m, 'q'))})")
 
 
+def _ten(t: str, key: str) -> str:
+    """Ten digits: those of a North American number (area and exchange from 200 on) among themselves, 80,000 x 80,000, all others too, 60,000 x 60,000."""
+    tweak = f"concat({key}, 'phone')"
+    part = lambda a, n: f"cast(substr({t}, {a}, {n}) as bigint)"
+    numbered = feistel_number(f"((({part(1, 1)} - 2) * 100 + {part(2, 2)}) * 8 + {part(4, 1)} - 2) * 1000000 + {part(5, 6)}", "80000L", "80000L", tweak)
+    valid = _let(numbered, "v", "concat(v div 800000000 + 2, lpad(v div 8000000 % 100, 2, '0'), v div 1000000 % 8 + 2, lpad(v % 1000000, 6, '0'))")
+    other = feistel_number(f"if({part(1, 1)} < 2, cast({t} as bigint), 2000000000 + ((({part(1, 1)} - 2) * 100 + {part(2, 2)}) * 2 + {part(4, 1)}) * 1000000 + {part(5, 6)})", "60000L", "60000L", f"concat({tweak}, '0')")
+    rest = "concat((v - 2000000000) div 200000000 + 2, lpad((v - 2000000000) div 2000000 % 100, 2, '0'), (v - 2000000000) div 1000000 % 2, lpad((v - 2000000000) % 1000000, 6, '0'))"
+    return f"if({t} rlike '^[2-9][0-9]{{2}}[2-9]', {valid}, {_let(other, 'v', f"""if(v < 2000000000, lpad(v, 10, '0'), {rest})""")})"
+
+
 def _phone(m: str, key: str) -> str:
-    """The last ten digits (all but one, if fewer) are permuted; a country code before them stays."""
-    kept = "greatest(length(d) - 10, 1)"
-    moved = f"concat(substr(d, 1, {kept}), {feistel_string(f'substr(d, {kept} + 1)', f'''concat({key}, 'phone')''')})"
-    plain = f"if(length(d) = 10, {feistel_string('d', f'''concat({key}, 'phone')''')}, {moved})"
-    return _let(_digits(m), "d", f"if(length(d) < 7 or length(d) > 15, {m}, {_let(plain, 'q', _refill(m, 'q'))})")
+    """The last ten digits are permuted, a country code before them stays; of fewer than ten all but the first."""
+    short = f"concat(substr(d, 1, 1), {feistel_string('substr(d, 2)', f"""concat({key}, 'phone')""")})"
+    moved = _let("right(d, 10)", "t", f"concat(substr(d, 1, length(d) - 10), {_ten('t', key)})")
+    return _let(_digits(m), "d", f"if(length(d) < 7 or length(d) > 15, {m}, {_let(f'if(length(d) < 10, {short}, {moved})', 'q', _refill(m, 'q'))})")
 
 
-def _valid_iban(m: str) -> str:
-    return _mod97(f"concat(substr({m}, 5), substr({m}, 1, 4))") + " = 1"
+def _valid_iban(w: str) -> str:
+    """Remainder 1, and check digits as they are given out: 02 to 98."""
+    return f"substr({w}, 3, 2) between '02' and '98' and {_mod97(f'concat(substr({w}, 5), substr({w}, 1, 4))')} = 1"
 
 
 def _iban(m: str, key: str) -> str:
-    """The account part is permuted, then the two check digits are made right."""
-    moved = feistel_string(f"substr({m}, 5)", f"concat({key}, 'iban', substr({m}, 1, 2))")
-    zero = _mod97(f"concat(p, substr({m}, 1, 2), '00')")
-    return f"if({_valid_iban(m)}, {_let(moved, 'p', f'''concat(substr({m}, 1, 2), lpad(98 - {zero}, 2, '0'), p)''')}, {m})"
+    """The account part is permuted, then the two check digits are made right; blanks stay."""
+    moved = feistel_string("substr(w, 5)", f"concat({key}, 'iban', substr(w, 1, 2))")
+    zero = _mod97("concat(p, substr(w, 1, 2), '00')")
+    made = _let(moved, "p", f"concat(substr(w, 1, 2), lpad(98 - {zero}, 2, '0'), p)")
+    return _let(f"replace({m}, ' ', '')", "w", f"if({_valid_iban('w')}, {_let(made, 'u', f"""if(w = {m}, u, {_refill(m, 'u', 'A-Z0-9')})""")}, {m})")
 
 
 def _email(m: str, key: str) -> str:
     """The part before the sign is lower-cased and permuted, apart for each domain."""
-    name, domain = f"substring_index(lower({m}), '@', 1)", f"substring_index({m}, '@', -1)"
-    tweak = f"concat({key}, 'email', lower({domain}))"
-    return f"concat({feistel_string(name, tweak)}, '@', {domain})"
+    tweak = f"concat({key}, 'email', lower(substring_index({m}, '@', -1)))"
+    return f"concat({permuted(f"""substring_index(lower({m}), '@', 1)""", tweak)}, '@', substring_index({m}, '@', -1))"
+
+
+def _token(m: str, key: str, head: str) -> str:
+    """What follows ``head`` is permuted; letters keep their case."""
+    return _let(f"regexp_extract({m}, {_sql('^(?:' + head + ')')}, 0)", "b", f"concat(b, {permuted(f'substr({m}, length(b) + 1)', f"""concat({key}, 'secret')""")})")
+
+
+def _labelled(m: str, key: str) -> str:
+    """A value after a label, unless it is a plain word."""
+    return f"if({m} rlike {_sql('^' + LABELLED + '[A-Za-z]++$')}, {m}, {_token(m, key, LABELLED)})"
 
 
 def _secret(m: str, key: str) -> str:
@@ -195,20 +250,24 @@ def _kinds(m: str) -> list[tuple[str, str]]:
     hexadecimal = f"{m} rlike '^[0-9A-Fa-f]{{18,}}$'"
     account = f"{m} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' and {_valid_iban(m)}"
     return [
+        ("labelled", f"{m} rlike {_sql('^' + LABELLED)}"),
         ("email", f"{m} like '%@%'"),
+        ("token", f"{m} rlike {_sql('^(?:' + TOKEN_HEADS + ')')}"),
         ("iban", f"{m} rlike '^[A-Z]{{2}}' and (not {hexadecimal} or {account})"),
         ("ip", f"{m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$'"),
         ("date", f"{m} rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$'"),
         ("ssn", f"{m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'"),
         ("secret", f"{hexadecimal} and {m} rlike '[A-Fa-f]'"),
-        ("phone", f"{m} rlike '^[+(]' or {m} rlike '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-]?[0-9]{{4}}$'"),
+        ("phone", f"{m} rlike '^[+(]' or {m} rlike '^([0-9]{{3}}[ .-][0-9]{{3}}[ .-]?[0-9]{{4}}|[0-9]{{10}})$'"),
         ("card", "true"),
     ]
 
 
 def pseudonym_sql(m: str, key: str) -> str:
     made = {
+        "labelled": _labelled(m, key),
         "email": _email(m, key),
+        "token": _token(m, key, TOKEN_HEADS),
         "iban": _iban(m, key),
         "ip": _ip(m, key),
         "date": _date(m, key),
@@ -225,15 +284,25 @@ def pattern() -> str:
     return "|".join(PATTERNS.values())
 
 
-def pseudonymize(df: DataFrame, text: str = "text", key: str = "kinfold", found: str | None = None) -> DataFrame:
-    """All rows and columns of ``df`` with the values found in ``text`` replaced by their pseudonyms.
+def session_key(spark: SparkSession) -> str:
+    """The key that the session is configured with, else one drawn for this application, which is nowhere kept."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+_drawn: dict[str, str] = {}
+
+
+def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
+    """All rows and columns of ``df`` with the values found in ``text`` replaced by their pseudonyms under ``key``.
 
     ``found`` names a further column: an array of (kind, value, pseudonym). Values that fail validation stay. Null
     texts stay null and have no values, empty texts stay empty; values keep their lengths, but for addresses, whose
     numbers may get more or fewer digits; repeated rows get equal results. Only ``text`` is read; a
-    column that is called like ``found`` is replaced.
+    column that is called like ``found`` is replaced. Texts and values may have any length. An empty key is refused.
     """
-    rx, k = _sql(pattern()), _sql(key + "|")
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    rx, k = _sql(pattern()), _sql("kinfold-key:" + hashlib.sha256(b"kinfold pseudonyms|" + key.encode()).hexdigest() + "|")
     kind = "case " + " ".join(f"when {test} then '{name}'" for name, test in _kinds("m")) + " end"
     hits = f"transform(regexp_extract_all(`{text}`, {rx}, 0), m -> named_struct('kind', {kind}, 'value', m, 'pseudonym', {pseudonym_sql('m', k)}))"
     name = found or next(n for n in ("_found" + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns)
@@ -248,4 +317,4 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = "kinfold", found:
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the pseudonymised text, and what was replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs, found="found").select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).alias("n_found"), F.expr("array_join(array_sort(array_distinct(found.kind)), ',')").alias("kinds"))
+    return pseudonymize(docs, session_key(spark), found="found").select("doc_id", "text", F.coalesce(F.size("found"), F.lit(0)).alias("n_found"), F.expr("array_join(array_sort(array_distinct(found.kind)), ',')").alias("kinds"))
