@@ -13,15 +13,14 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
-def sample_classes(df: DataFrame, label: str, key: str, per_class: int, largest: int = 512) -> tuple[DataFrame, dict]:
+def sample_classes(df: DataFrame, label: str, key: str, per_class: int) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each label (all, if fewer), chosen by a hash of ``key``, and the number of rows of each.
 
-    ``largest`` bounds the number of labels, the most frequent first, so that the counts and shares fit anywhere.
+    One number a label comes to the driver.
     """
-    n = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(largest).collect()}
+    n = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).collect()}
     if not n:
         return df.limit(0), n
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(_STEPS, int(_STEPS * per_class / v) + 1))])
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(_STEPS)) < share[F.col(label)]
     return df.where(F.col(label).isNotNull() & drawn), n
-

@@ -6,6 +6,7 @@ pattern ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nothing is cut: documents of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,10 +71,33 @@ def chunks(texts: list[bytes], limit: int = _CHUNK) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and where each text's words begin (one more entry than texts)."""
+_BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def _pieces(raw: bytes, limit: int) -> Iterator[bytes]:
+    """The text in pieces of about ``limit`` bytes that end between words."""
+    at = 0
+    while at < len(raw):
+        gap = _BETWEEN.search(raw, at + limit)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def word_hashes(texts: list[bytes], limit: int = 4 * _CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and where each text's words begin (one more entry than texts).
+
+    A text of over ``limit`` bytes goes piece by piece, so that memory is that of its hashes and of one piece.
+    """
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    if len(texts) == 1 and len(texts[0]) > limit:
+        h = np.concatenate([_hashes([x])[0] for x in _pieces(texts[0], limit)])
+        return h, np.array([0, len(h)], np.int64)
+    return _hashes(texts)
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\0".join(texts) + b"\0"
     c = _WORD[np.frombuffer(joined, np.uint8)]
     up, down = _power_tables(len(c))

@@ -18,7 +18,7 @@ from kinfold.plans.runtime import table
 BUCKET_BITS, ORDERS, DIM = 15, (3, 4, 5), 12
 #: Bound of the training sample, in rows of each language; every row outside it is only predicted.
 PER_LANGUAGE = 800
-EPOCHS, RATE, SEED = 4, 10.0, 7
+EPOCHS, RATE, SEED = 12, 10.0, 7
 UNKNOWN = "und"
 
 _LETTER = word_table()
@@ -90,23 +90,24 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     order = rng.permutation(len(usable))
     cut = len(usable) - len(usable) // 5
     fit, held = [usable[i] for i in order[:cut]], [usable[i] for i in order[cut:]] or usable
-    emb = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIM)) / DIM
+    emb = (rng.uniform(-1, 1, (1 << BUCKET_BITS, DIM)) / DIM).astype(np.float32)
     out = np.zeros((DIM, len(langs)))
-    epochs = max(epochs, min(12, 12_000 // max(1, len(fit))))
     steps, done = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
             y, at, w = fit[i]
             lr = rate * (1 - done / steps)
             done += 1
-            mean = w @ emb[at]
+            own = emb.take(at, 0)
+            mean = w @ own
             z = mean @ out
             g = np.exp(z - z.max())
             g /= g.sum()
             g[y] -= 1
             back = out @ g
             out -= lr * 0.25 * np.outer(mean, g)
-            emb[at] -= (lr * w)[:, None] * back
+            own -= np.outer(w, (lr * back).astype(np.float32))
+            emb[at] = own
     scores = emb @ out
     z = np.array([w @ scores[at] for _, at, w in held]) if held else np.zeros((0, len(langs)))
     y = np.array([h[0] for h in held])
@@ -127,7 +128,10 @@ def train(bags: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict:
-    """Learn from at most about ``per_language`` rows of each language with a non-null label and text."""
+    """Learn from at most about ``per_language`` rows of each language with a non-null label and text.
+
+    Every language of the labels is learned, however rare; all of them together bound the sample that comes to the driver.
+    """
     rows, _ = sample_classes(df.where(F.col(text).isNotNull()), label, key, per_language)
     return train(_bags(rows, label, text))
 
