@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm._learn import held_out, sample_classes
-from kinfold.llm._text import chunks, texts_as_bytes, word_hashes
+from kinfold.llm._text import chunks, mix, texts_as_bytes, word_hashes
 from kinfold.plans.runtime import table
 
 BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 6
-#: Bounds of the training sample: rows of each class, and words of the longest text that is learned from.
-PER_CLASS, LONGEST = {0: 5000, 1: 2000}, 50_000
+#: Bounds of the training sample: rows of each class, and words of a text. Of a text with more, stretches of ``STRETCH`` words are drawn from all over it.
+PER_CLASS, WORDS_PER_TEXT, STRETCH = {0: 5000, 1: 2000}, 4096, 64
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.1, 11
+#: Words that are scored at once.
+SLICE = 1 << 17
 _N = 1 << BITS
 _PAD = max(WIDTHS) - 1
 _COLUMNS = [(w, k) for w in WIDTHS for k in range(w)]
@@ -64,15 +66,21 @@ def forward(model: dict, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     e = model["emb"][a] + model["emb"][b]
     places = np.zeros((len(docs), len(WIDTHS) * FILTERS), np.int64)
     top = np.full(places.shape, -np.inf)
+    full = ends > starts
+    cuts = np.stack([starts[full], ends[full]], 1).ravel()
+    n = (ends - starts)[full]
+    inside = np.arange(n.sum()) + np.repeat(starts[full] - (np.cumsum(n) - n), n)
     for i, w in enumerate(WIDTHS):
         conv = sum(np.pad(e[k:], ((0, k), (0, 0))) @ model["kernels"][w][k] for k in range(w))
         cols = slice(i * FILTERS, (i + 1) * FILTERS)
-        for d, (s, t) in enumerate(zip(starts, ends, strict=True)):
-            if t > s:
-                at = conv[s:t].argmax(0)
-                places[d, cols] = s + at
-                top[d, cols] = conv[s + at, np.arange(FILTERS)]
-    full = ends > starts
+        if len(cuts):
+            best = np.maximum.reduceat(conv, cuts, 0)[::2]
+            top[full, cols] = best
+            # The first place of each maximum: the last to be written of the places in falling order.
+            at, filter_ = np.nonzero(conv[inside] == np.repeat(best, n, 0))
+            first = np.zeros(best.shape, np.int64)
+            first[np.repeat(np.arange(len(n)), n)[at][::-1], filter_[::-1]] = inside[at][::-1]
+            places[full, cols] = first
     z = np.where(full[:, None], np.maximum(np.where(full[:, None], top, 0) + model["bias"], 0), 0)
     return z @ model["out"] + model["shift"], z, places, full, (a, b, e)
 
@@ -100,7 +108,6 @@ def train(docs: list[np.ndarray], y: np.ndarray, langs: list, epochs: int = EPOC
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     sure = np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5)), 0)
     model["emb"][:-1, 0] += np.clip(sure, -1, 3)[:-1] * 0.5
-    epochs = max(epochs, min(40, 40_000 // len(fit)))
     for w in WIDTHS:
         model["kernels"][w][:, 0, : FILTERS // 2] = np.abs(model["kernels"][w][:, 0, : FILTERS // 2]) + 0.3
     model["out"] = np.tile(np.where(np.arange(FILTERS) < FILTERS // 2, np.abs(model["out"][:FILTERS]), model["out"][:FILTERS]), len(WIDTHS))
@@ -181,10 +188,20 @@ def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(cuts[int(np.argmin(errors))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", lang: str = "lang", per_class: dict | None = None) -> dict:
-    """Learn from a sample of labelled rows, bounded by ``per_class`` rows of each class and ``LONGEST`` words a text.
+def drawn(h: np.ndarray, most: int) -> np.ndarray:
+    """All words, or of more than ``most`` whole stretches from all over the text, those whose first words hash lowest."""
+    if len(h) <= most:
+        return h
+    n = len(h) // STRETCH
+    low = np.argsort(mix(h[: n * STRETCH : STRETCH] + np.arange(n, dtype=np.uint64)), kind="stable")[: max(1, most // STRETCH)]
+    return np.concatenate([h[i * STRETCH : (i + 1) * STRETCH] for i in np.sort(low).tolist()])
+
 
-    Repeated labels of a key count as often; null labels, keys and texts are passed over.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", lang: str = "lang", per_class: dict | None = None, words_per_text: int = WORDS_PER_TEXT) -> dict:
+    """Learn from a sample of labelled rows, bounded by ``per_class`` rows of each class and ``words_per_text`` words of a text.
+
+    Texts with more words are learned from stretches drawn from the whole of them. Repeated labels of a key count as
+    often; null labels, keys and texts are passed over.
     """
     wanted = per_class or PER_CLASS
     labels = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y in (0, 1)")
@@ -195,24 +212,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def run(batches):
         for batch in batches:
-            words = []
-            for raw in texts_as_bytes(batch.column(2)):
-                h, _ = word_hashes([raw])
-                words.append(h.tobytes() if len(h) <= LONGEST else None)
+            words = [drawn(word_hashes([raw])[0], words_per_text).tobytes() for raw in texts_as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary())], names=["y", "lang", "words"])
 
-    got = [(bytes(r[2]), r[0], r[1]) for r in joined.select("_y", "_lang", "_text").mapInArrow(run, "y int, lang string, words binary").where("words is not null").collect()]
+    got = [(bytes(r[2]), r[0], r[1]) for r in joined.select("_y", "_lang", "_text").mapInArrow(run, "y int, lang string, words binary").collect()]
     got.sort(key=lambda r: (r[0], r[1]))
     seen = n.get(0, 0) + n.get(1, 0)
     return train([np.frombuffer(r[0], np.uint64) for r in got], np.array([r[1] for r in got], np.float64), [r[2] for r in got], prior=n.get(1, 0) / seen if seen else None)
 
 
-def logits(model: dict, texts: list[bytes]) -> np.ndarray:
-    """Of whole texts, with the table of bucket shares."""
-    h, first = word_hashes(texts)
+def _maxima(model: dict, h: np.ndarray, first: np.ndarray, more: int = 0) -> np.ndarray:
+    """The largest value of each filter in each text (0 without words); the last ``more`` words of a text only end windows."""
     a, b, starts, ends = padded(buckets(h), first)
+    ends = ends - more
     g = model["table"][a] + model["table"][b]
-    z = np.zeros((len(texts), len(WIDTHS) * FILTERS))
+    z = np.zeros((len(first) - 1, len(WIDTHS) * FILTERS))
     full = ends > starts
     cuts = np.stack([starts[full], ends[full]], 1).ravel()
     done = 0
@@ -223,6 +237,20 @@ def logits(model: dict, texts: list[bytes]) -> np.ndarray:
         done += w
         if len(cuts):
             z[full, i * FILTERS : (i + 1) * FILTERS] = np.maximum.reduceat(conv, cuts, 0)[::2]
+    return z
+
+
+def logits(model: dict, texts: list[bytes], at_once: int = SLICE) -> np.ndarray:
+    """Of whole texts, with the table of bucket shares. A text of more than ``at_once`` words goes slice by slice, whose maxima's maximum is that of the text."""
+    h, first = word_hashes(texts)
+    if len(texts) == 1 and len(h) > at_once:
+        z = np.full((1, len(WIDTHS) * FILTERS), -np.inf)
+        for s in range(0, len(h), at_once):
+            part = h[s : s + at_once + _PAD]
+            z = np.maximum(z, _maxima(model, part, np.array([0, len(part)]), max(0, min(_PAD, len(part) - at_once))))
+    else:
+        z = _maxima(model, h, first)
+    full = np.diff(first) > 0
     z[full] = np.maximum(z[full] + model["bias"], 0)
     return z @ model["out"] + model["shift"]
 

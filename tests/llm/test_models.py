@@ -84,3 +84,41 @@ def test_table_form_equals_training_form():
     table = np.concatenate([model["emb"] @ model["kernels"][w][k] for w, k in toxicity._COLUMNS], 1)
     got = toxicity.logits({**model, "table": table}, texts)
     assert got == pytest.approx(want)
+
+
+def test_long_texts_go_piece_by_piece():
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcé ,") for _ in range(rng.randint(1, 9))) for _ in range(4000)).encode()
+    h, first = _text.word_hashes([long])
+    for limit in (1, 7, 1000):
+        g, at = _text.word_hashes([long], limit)
+        assert (g == h).all() and at.tolist() == first.tolist()
+    model = toxicity.new_model()
+    model["table"] = np.concatenate([model["emb"] @ model["kernels"][w][k] for w, k in toxicity._COLUMNS], 1)
+    for at_once in (3, 4, 100, len(h) - 1, len(h) - 2):
+        assert toxicity.logits(model, [long], at_once) == pytest.approx(toxicity.logits(model, [long]))
+    some = toxicity.drawn(h, 256)
+    assert len(some) == 256 and (toxicity.drawn(h, len(h)) == h).all()
+    at = [np.flatnonzero((h[: len(h) - 63] == s[0]) & (h[63:] == s[63])).tolist() for s in some.reshape(-1, 64)]
+    assert all(at) and max(a[0] for a in at) > len(h) // 2
+
+
+def test_filters_see_the_order_of_words():
+    """The same words in every text: what makes it toxic is their order, which a bag of words cannot tell."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+
+    def make(n):
+        texts, toxic = [], []
+        for i in range(n):
+            w = [rng.choice(words) for _ in range(rng.randint(10, 60))]
+            at = rng.randrange(len(w))
+            w[at:at] = ["vile", "person"] if i % 3 == 0 else ["person", "vile"]
+            texts.append(" ".join(w).encode())
+            toxic.append(float(i % 3 == 0))
+        return texts, np.array(toxic)
+
+    texts, toxic = make(1200)
+    model = toxicity.train([_text.word_hashes([t])[0] for t in texts], toxic, ["x"] * len(texts))
+    texts, toxic = make(300)
+    assert ((toxicity.logits(model, texts) >= 0) == (toxic == 1)).mean() > 0.95
