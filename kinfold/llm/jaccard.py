@@ -19,10 +19,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kinfold.llm._text import chunks, mix, shingle_set, texts_as_bytes, word_hashes
 from kinfold.operators.components import connected_components
+from kinfold.operators.filters import key_filter, with_membership
 from kinfold.plans.runtime import cut_lineage, table
 
 THRESHOLD, WORDS = 0.8, 5
@@ -32,8 +32,6 @@ TOKENS, SECOND = 64, 0.25
 DEPTH, DEEPEST, RECALL, BUCKET = 2, 4, 0.999, 4096
 #: Components up to that many sets (and shingles) are compared by one task, larger ones in pairs of blocks.
 WHOLE, WHOLE_SHINGLES = 256, 1 << 22
-#: Bytes kept of a shingle's hash.
-BYTES = 5
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -48,8 +46,17 @@ def shared(similarity: float, depth: int, second: float = SECOND) -> float:
     return s
 
 
+def expected_recall(threshold: float, depth: int, runs: int) -> float:
+    """Of pairs exactly at the threshold. All runs share one embedding, so it is an average over how many of its tokens agree."""
+    need, total = tokens_needed(threshold), 0.0
+    for k in range(need, TOKENS + 1):
+        total += math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k) * (1 - (1 - shared(k / TOKENS, depth)) ** runs)
+    return total
+
+
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEEPEST) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - shared(threshold, depth)))
+    """Runs after which the expected recall is reached by pairs whose buckets are split as deep as ``depth``."""
+    return next(r for r in range(1, 1000) if expected_recall(threshold, depth, r) >= recall or expected_recall(threshold, depth, r + 1) - expected_recall(threshold, depth, r) < 1e-7)
 
 
 def tokens_needed(threshold: float = THRESHOLD) -> int:
@@ -117,23 +124,26 @@ def signatures(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFr
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, n long, tokens binary")
 
 
-_KEYED = "key long, rep long, n long, tokens binary"
+_KEYED = "key long, rep long, n int, tokens binary"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
+def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
 
 
 def _keyed(reps: DataFrame, runs: int) -> DataFrame:
+    """Rows of all paths. Paths follow tokens of 16 bits; into the buckets go 8 bits of each, which tell sets apart as well and weigh half."""
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
                 part = batch.slice(s, 4096)
                 if part.num_rows:
-                    who, key = paths(_matrix(part.column(2)), runs)
-                    yield from _taken(part, who, key)
+                    tokens = _matrix(part.column(2), np.uint16)
+                    who, key = paths(tokens, runs)
+                    low = pa.array([x.tobytes() for x in tokens.astype(np.uint8)], pa.binary())
+                    yield from _taken(pa.RecordBatch.from_arrays([part.column(0), part.column(1), low], names=["rep", "n", "tokens"]), who, key)
 
-    return reps.select("rep", "n", "tokens").mapInArrow(run, _KEYED)
+    return reps.select("rep", F.col("n").cast("int").alias("n"), "tokens").mapInArrow(run, _KEYED)
 
 
 def _taken(part: pa.RecordBatch, who: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -226,7 +236,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, deepest: int = DEEPEST) -> DataFrame:
     """(src, dst): spanning edges over nodes that may be linked."""
-    rows, depth, edges = _keyed(reps, runs_needed(threshold, recall)), DEPTH, None
+    rows, depth, edges = _keyed(reps, runs_needed(threshold, recall, max(deepest, DEPTH))), DEPTH, None
     while True:
         large = cut_lineage(rows.groupBy("key").count().where(F.col("count") > bucket))
         if large.limit(1).count() == 0:
@@ -314,21 +324,15 @@ def exact_links(rep: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], sid
     return links.astype(np.int64), rep[label]
 
 
-def _sets(texts, words: int):
-    return [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :BYTES]).tobytes() for s in _shingles(texts, words)]
-
-
 def _unpack(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // BYTES, 8), np.uint8)
-    x[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
-    return np.unique(x.view(np.uint64).ravel())
+    return np.frombuffer(raw, np.uint64)
 
 
 def verified(df: DataFrame, reps: DataFrame, components: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = WORDS, whole: int = WHOLE) -> DataFrame:
     """(rep, links, class) by exact comparison of all sets of each candidate component."""
     @F.pandas_udf("binary")
     def packed(x: pd.Series) -> pd.Series:
-        return pd.Series(_sets([t.encode() for t in x], words), dtype=object)
+        return pd.Series([s.tobytes() for s in _shingles([t.encode() for t in x], words)], dtype=object)
 
     members = cut_lineage(components.withColumnRenamed("node", "rep").join(reps.select("rep", "n", "copies"), "rep"))
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
@@ -337,7 +341,9 @@ def verified(df: DataFrame, reps: DataFrame, components: DataFrame, key: str, te
     large = cut_lineage(size.where((F.col("m") > whole) | (F.col("shingles") > WHOLE_SHINGLES)).select("component", blocks.alias("blocks")))
     split = large.limit(1).count() > 0
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null and text is not null")
-    sets = texts.withColumn("shingles", packed("text")).drop("text").join(members.select("rep", "component", "copies"), "rep")
+    # Most texts are candidates of nothing: they go no further than their own partition.
+    asked = with_membership(texts, key_filter(members, ["rep"]), ["rep"], "asked").where("asked").select("rep", "text")
+    sets = asked.withColumn("shingles", packed("text")).drop("text").join(members.select("rep", "component", "copies"), "rep")
     if split:
         sets = sets.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -352,9 +358,12 @@ def verified(df: DataFrame, reps: DataFrame, components: DataFrame, key: str, te
         n = 0
         for g in grouped(batches):
             rep = np.asarray(_one(g.column(1)))
-            _, at = np.unique(rep, return_index=True)
+            _, at, back = np.unique(rep, return_index=True, return_inverse=True)
             raw, copies, side = _one(g.column(3)), np.asarray(_one(g.column(2)))[at].astype(np.float64), np.asarray(_one(g.column(4)))[at]
-            links, label = exact_links(rep[at], copies, [_unpack(raw[int(i)].as_py()) for i in at], side, threshold)
+            shingles = [_unpack(raw[int(i)].as_py()) for i in at]
+            for i in np.flatnonzero(at[back] != np.arange(len(rep))).tolist():  # several texts of one key
+                shingles[back[i]] = np.union1d(shingles[back[i]], _unpack(raw[i].as_py()))
+            links, label = exact_links(rep[at], copies, shingles, side, threshold)
             out.append((rep[at], links, label))
             n += len(at)
             if n > 20_000:
@@ -383,7 +392,8 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     smallest with an equal set. Texts with fewer words than an n-gram have one gram of all their words; texts without
     a word have one of the raw text, so that equal ones are linked. Rows with a null text are linked with nothing and
     are a class of their own; rows with a null key take no part and have null ids and no links. Keys are whole
-    numbers that name documents: repeated rows are copies of one another. An empty table gives no rows.
+    numbers that name documents: repeated rows are copies of one another, and where rows of one key differ in their texts
+    that key stands for all of them, with the union of their sets in comparisons. An empty table gives no rows.
     """
     if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{key} must be a whole number")
@@ -400,13 +410,18 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each class, that of the smallest key; rows with a null key stay. Columns keep their names, whatever they are."""
-    kept = jaccard_join(df, key, text).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("long").alias("id"))
-    first = Window.partitionBy("id").orderBy(F.lit(0))
-    named = rows.where("id is not null")
-    once = named.join(kept, F.col("id") == F.col("kept"), "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
-    return once.select("row.*").unionByName(rows.where("id is null").select("row.*"))
+    """``df`` with the rows of one key of each class, the smallest; of rows with equal key and text one stays.
+
+    Rows with a null key stay. Columns keep their names, whatever they are. Only the rows in question move: those of
+    classes with other keys and of repeated keys, and the few that the filter takes for such.
+    """
+    ids = jaccard_join(df, key, text).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("class"))
+    doubtful = cut_lineage(ids.where("n > 1 or class <> doc_id").select("doc_id", (F.col("class") == F.col("doc_id")).alias("head")))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    marked = with_membership(rows, key_filter(doubtful, ["doc_id"]), ["id"], "moves")
+    once = marked.where("moves").groupBy("id", F.xxhash64("text").alias("h"), F.col("text").isNull().alias("none")).agg(F.first("row").alias("row"))
+    moved = once.join(doubtful, F.col("id") == F.col("doc_id"), "left").where("head is null or head").select("row")
+    return marked.where("not moves").select("row").unionByName(moved).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,10 +104,38 @@ def test_parts():
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(50)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert j.intersections(sets).tolist() == want
-    assert 0.9 < j.shared(0.95, 2) < 1 and (1 - j.shared(0.8, j.DEEPEST)) ** j.runs_needed() <= 1 - j.RECALL
+    assert 0.9 < j.shared(0.95, 2) < 1 and j.expected_recall(0.8, j.DEEPEST, j.runs_needed()) >= j.RECALL > j.expected_recall(0.8, j.DEEPEST, j.runs_needed() - 1)
+    assert j.runs_needed(depth=6) > j.runs_needed() > j.runs_needed(depth=2)
     a = np.unique(rng.integers(0, 1 << 62, 500, dtype=np.uint64))
     b = np.concatenate([a[:450], np.unique(rng.integers(0, 1 << 62, 50, dtype=np.uint64))])
     assert abs((j.embed(a) == j.embed(b)).mean() - 450 / 550) < 0.2
     tokens = np.stack([j.embed(a), j.embed(a), j.embed(b)])
     who, key = j.paths(tokens, 4)
     assert sorted(key[who == 0].tolist()) == sorted(key[who == 1].tolist())
+
+
+def test_recall_by_simulation():
+    """Pairs whose tokens agree with the threshold's probability meet as often as they should in the runs that are made; the runs' roots are the same for all pairs."""
+    rng = np.random.default_rng(4)
+    n, runs = 2000, j.runs_needed()
+    a = rng.integers(0, 1 << 16, (n, j.TOKENS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 1 << 16, a.shape).astype(np.uint16))
+    met = np.zeros(n, bool)
+    for s in range(0, n, 500):
+        sides = []
+        for x in (a, b):
+            who, key = j.paths(x[s : s + 500], runs, 4)
+            sides.append({(int(w), int(k)) for w, k in zip(who, key, strict=True)})
+        for w, _ in sides[0] & sides[1]:
+            met[s + w] = True
+    met &= (a == b).sum(1) >= j.tokens_needed()
+    assert met.mean() > 0.998
+
+
+def test_keep_one_moves_no_row_that_stays(spark):
+    rows = documents(2)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(0, "quite another text of the first key", "y"), (0, rows[0][1], "z")], "doc_id long, text string, row string")
+    heads = {i for i, (c, _, _) in brute(rows).items() if c == i}
+    got = j.keep_one(df).collect()
+    assert {r.doc_id for r in got} == heads and sorted(r.text for r in got if r.doc_id == 0) == sorted([rows[0][1], "quite another text of the first key"])
+    assert len(got) == len(heads) + 1
