@@ -10,10 +10,11 @@ tree, where they meet in pairs; the sum of a source stays exact until its last o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinfold.operators.filters import key_filter, with_membership
 from kinfold.plans.runtime import cut_lineage, table
 
 #: Fixed values of the contract: weights in turn, and the largest number of copies.
@@ -22,26 +23,45 @@ WORDS = r"[^\x20\x09-\x0D]+"
 LEAF = 64
 #: Largest number of sources whose table is broadcast; beyond it they are joined by a shuffle.
 FEW_SOURCES = 10_000
+#: Equal rows that one task numbers.
+BLOCK = 4096
+
+
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], few: bool) -> DataFrame:
+    """``df`` with the number of rows before each (``before``) and the sums over them. Many rows are sorted in ranges, which are shifted by what lies in those before; few lie in one."""
+    dealt = df.coalesce(1) if few else df.repartitionByRange(*order)
+    local = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as there are ranges.
+    shift = ranges.select(F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in ("n", *sums)])
+    out = local.join(F.broadcast(shift), F.col("_part") == F.col("_of"))
+    out = out.withColumn("before", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before_n"))
+    for n, c in sums.items():
+        out = out.withColumn(n, F.coalesce(F.sum(c).over(here), F.lit(0.0)) + F.col(f"_before_{n}"))
+    return out.drop("_part", "_of", *[f"_before_{n}" for n in ("n", *sums)])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, largest: float = LARGEST) -> DataFrame:
-    """(source, source_size, n_open, rank, weight, target) from (source, size).
+    """(source, source_size, n_open, rank, weight, target) from (source, size, rows), ``rows`` of that size each.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes; a target stops at
     ``largest`` times its source's size and the excess is shared anew. In order of the size at which they stop, the
     stopped sources come first, so one running sum over the sources (not the rows) finds the level of the others.
     """
-    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_open"))
+    one = cut_lineage(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("rows")).otherwise(0)).alias("n_open")))
+    n, total = one.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    few = n <= FEW_SOURCES
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = one.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", F.element_at(turn, (F.col("rank") - 1) % len(weights) + 1))
-    stop = ranked.withColumn("stop", F.col("source_size") * F.lit(float(largest)))
-    by_stop = Window.orderBy(F.col("stop") / F.col("weight"), "rank")
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(by_stop.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(by_stop.rowsBetween(0, Window.unboundedFollowing))
-    levelled = stop.withColumn("level", level).withColumn("stopped", F.col("stop") <= F.col("weight") * F.col("level"))
-    rest = F.max(F.when(~F.col("stopped"), F.col("level"))).over(everything)
-    return levelled.withColumn("target", F.when(F.col("stopped"), F.col("stop")).otherwise(F.least("stop", F.col("weight") * rest))).select("source", "source_size", "n_open", "rank", "weight", "target")
+    ranked = _running(one, [F.col("source").asc_nulls_last()], {}, few).withColumn("rank", (F.col("before") + 1).cast("int")).drop("before")
+    ranked = ranked.withColumn("weight", F.element_at(turn, (F.col("rank") - 1) % len(weights) + 1)).withColumn("stop", F.col("source_size") * F.lit(float(largest)))
+    by_stop = [(F.col("stop") / F.col("weight")).asc(), F.col("rank").asc()]
+    summed = cut_lineage(_running(ranked, by_stop, {"stops": F.col("stop"), "weights": F.col("weight")}, few))
+    all_weights = summed.agg(F.sum("weight")).first()[0] or 0.0
+    levelled = summed.withColumn("level", (F.lit(float(total or 0)) - F.col("stops")) / (F.lit(float(all_weights)) - F.col("weights"))).withColumn("stopped", F.col("stop") <= F.col("weight") * F.col("level"))
+    rest = levelled.agg(F.max(F.when(~F.col("stopped"), F.col("level")))).first()[0]
+    return levelled.withColumn("target", F.when(F.col("stopped"), F.col("stop")).otherwise(F.least("stop", F.col("weight") * F.lit(rest)))).select("source", "source_size", "n_open", "rank", "weight", "target")
 
 
 _UNIT = "struct<size:bigint,u:double,doc_id:{id},tie:bigint,occ:int,p:double>"
@@ -90,12 +110,16 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     columns take no part. The random numbers are hashes of key, text and ``seed``, so reruns agree.
     """
     kind = df.schema[key].dataType.simpleString()
-    sizes = df.select(
+    measured = df.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("tie"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
     )
-    same = Window.partitionBy("doc_id", "source", "tie").orderBy("size")
-    sizes = cut_lineage(sizes.withColumn("occ", F.row_number().over(same)))
-    sources = cut_lineage(source_targets(sizes, weights, largest))
+    # Rows that agree are counted, which combines before the shuffle, and numbered anew; very many of them are numbered in blocks.
+    groups = cut_lineage(measured.groupBy("doc_id", "source", "tie").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows")))
+    one = groups.where(F.col("rows") <= BLOCK).withColumn("occ", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    blocks = groups.where(F.col("rows") > BLOCK).withColumn("block", F.explode(F.expr(f"sequence(0L, (rows - 1) div {BLOCK})"))).repartition("doc_id", "source", "tie", "block")
+    many = blocks.withColumn("occ", F.explode(F.expr(f"sequence(cast(block * {BLOCK} + 1 as int), cast(least(rows, (block + 1) * {BLOCK}) as int))")))
+    sizes = one.select("doc_id", "source", "tie", "size", "occ").union(many.select("doc_id", "source", "tie", "size", "occ"))
+    sources = cut_lineage(source_targets(groups, weights, largest))
     n_sources, most = sources.agg(F.count(F.lit(1)), F.max("n_open")).first()
     side = sources.withColumnRenamed("source", "_source")
     side = F.broadcast(side) if n_sources <= FEW_SOURCES else side
@@ -130,13 +154,47 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **kwargs) -> DataFrame:
-    """``df`` with each row as many times as the mix takes it, and its columns as they are."""
-    plan = mix(df, key, text, source, **kwargs).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("tie").alias("_tie"), F.col("occ").alias("_occ"), "copies").where("copies > 0")
-    same = Window.partitionBy("_key", "_source", "_tie").orderBy("_tie")
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("_tie")).withColumn("_occ", F.row_number().over(same))
-    a, b = rows.alias("a"), plan.alias("b")
-    on = F.expr("a._key <=> b._key and a._source <=> b._source and a._tie = b._tie and a._occ = b._occ")
-    return a.join(b, on).select("a._row", F.explode(F.sequence(F.lit(1), F.col("b.copies").cast("int")))).select("_row.*")
+    """``df`` with each row as many times as the mix takes it, and its columns as they are.
+
+    Most rows of a source are taken equally often, and stay in their partitions; only those that the mix takes once more
+    or less than that (and the few that the filter takes for such) are joined with their number of copies. Repeated rows
+    are numbered within the parts of the input, which the parts before shift, so that very many of them are split.
+    """
+    columns = ["_key", "_source", "_tie"]
+    plan = cut_lineage(mix(df, key, text, source, **kwargs).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("tie").alias("_tie"), "size", "copies"))
+    usual = plan.where("size > 0").groupBy("_source", "copies").count().groupBy("_source").agg(F.max_by("copies", F.struct("count", -F.col("copies"))).alias("usual"))
+    usual = cut_lineage(usual)
+    n = usual.count()
+
+    def with_usual(rows: DataFrame, words: Column) -> DataFrame:
+        side = usual.select(F.col("_source").alias("_s"), "usual")
+        side = F.broadcast(side) if n <= FEW_SOURCES else side.limit(0)  # of very many sources all rows are joined
+        return rows.join(side, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("usual", F.when(words, F.coalesce("usual", F.lit(-1))).otherwise(F.lit(0)))
+
+    groups = with_usual(plan, F.col("size") > 0).groupBy(*columns).agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("least"), F.sum("copies").alias("taken"), F.max(F.col("copies") != F.col("usual")).alias("odd"))
+    odd = cut_lineage(groups.where("odd").drop("odd"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("_tie"), F.coalesce(F.col(text).rlike(WORDS), F.lit(False)).alias("_words"))
+    rows = with_membership(with_usual(rows, F.col("_words")), key_filter(odd, columns), columns, "_moves").withColumn("_part", F.spark_partition_id())
+    moved = rows.where("_moves")
+    # Of m equal rows the first get one copy more than the others, so that all copies of the mix are given out.
+    a, b = moved.alias("a"), odd.alias("b")
+    same = F.expr("a._key <=> b._key and a._source <=> b._source and a._tie = b._tie")
+    single = a.join(b, same, "left").where("b.m is null or b.m = 1").select("a._row", F.coalesce("b.taken", "a.usual").alias("n"))
+    kept = rows.where("not _moves").select("_row", F.col("usual").alias("n"))
+    out = kept.unionByName(single)
+    repeated = odd.where("m > 1")
+    if repeated.limit(1).count():
+        # Kept, as a second reading of the input might part it otherwise.
+        again = cut_lineage(a.join(repeated.alias("b"), same).select("a.*", "b.m", "b.least", "b.taken"))
+        counts = again.groupBy(*columns, "_part").count()
+        shift = counts.select(*columns, "_part", F.coalesce(F.sum("count").over(Window.partitionBy(*columns).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+        within = again.withColumn("at", F.row_number().over(Window.partitionBy(*columns, "_part").orderBy("_tie")))
+        c, d = within.alias("c"), shift.alias("d")
+        numbered = c.join(d, F.expr("c._key <=> d._key and c._source <=> d._source and c._tie = d._tie and c._part = d._part"))
+        several = numbered.select("c._row", F.expr("c.least + if(c.at + d.shift <= c.taken - c.least * c.m, 1, 0)").alias("n"))
+        out = out.unionByName(several)
+    out = out.where("n > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.llm import mixing
 from tests.llm.conftest import ODD
@@ -63,13 +64,36 @@ def test_mix(spark, seed):
 
 
 def test_expectations(spark):
-    """Over many seeds each row is taken as often as its source's rate says."""
-    df = spark.createDataFrame([(i, "w " * (i % 4 + 1), "ab"[i % 2]) for i in range(12)], "doc_id long, text string, source string")
-    total = {}
-    for seed in range(12):
-        for r in mixing.mix(df, seed=seed).collect():
-            total.setdefault(r.doc_id, []).append(r.copies - r.target / r.source_size)
-    assert abs(sum(map(sum, total.values()))) / 144 < 0.15
+    """Each row is taken as often as its source's rate says: 300 copies of a table under keys of their own are 300 draws of every row."""
+    n = 300
+    units = spark.createDataFrame([(i, s) for i, s in enumerate([1, 1, 2, 3, 5, 8, 40, 40, 100, 7, 7, 3])], "i int, size long")
+    drawn = spark.range(n).crossJoin(units).selectExpr("id AS g", "i", f"named_struct('size', size, 'u', (xxhash64(id, i) & {(1 << 52) - 1}) / {float(1 << 52)}, 'doc_id', i, 'tie', 0L, 'occ', 1, 'p', 0.3D) AS x")
+    gathered = drawn.groupBy("g").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("units"))
+    for form, p in ((mixing._leaf, 0.3), (mixing._fold, 0.3)):
+        f = gathered.select(F.expr(form("units", "int")).alias("f")).select(F.expr("concat(f.done, array(f.cur))").alias("x"))
+        rows = f.select(F.explode("x").alias("x")).groupBy("x.doc_id").agg(F.avg("x.p").alias("p"), F.count("*").alias("n")).collect()
+        assert len(rows) == 12 and all(r.n == n and abs(r.p - p) < 4 * (p * (1 - p) / n) ** 0.5 for r in rows), (form, rows)
+        sums = f.select(F.expr("aggregate(x, 0D, (t, v) -> t + v.size * v.p)").alias("t")).agg(F.min("t"), F.max("t")).first()
+        assert sums[0] == pytest.approx(0.3 * 217) and sums[1] == pytest.approx(0.3 * 217)
+
+
+def test_many_equal_rows_and_many_sources(spark, monkeypatch):
+    same = [(None, "the same words again", "a", i) for i in range(70)] + [(1, "w " * 50, "b", i) for i in range(9)] + [(2, "w", "b", 0), (3, "", "a", 0)]
+    rows = same + [(10 + i, "x y " * (i % 7 + 1), f"s{i % 40}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(6)
+    want = sorted(map(str, mixing.mix(df).collect()))
+    times = {}
+    for r in mixing.apply_mix(df).collect():
+        times[r.doc_id, r.text] = times.get((r.doc_id, r.text), 0) + 1
+    by = {}
+    for r in mixing.mix(df).collect():
+        by[r.doc_id, r.tie] = by.get((r.doc_id, r.tie), 0) + r.copies
+    assert sorted(times.values()) == sorted(v for v in by.values() if v)
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
+    assert mixing.apply_mix(df).count() == sum(times.values())
 
 
 def test_odd_rows(odd, empty):
