@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import jaccard, mixing, packing, pii, toxicity
-from kinfold.plans.runtime import ensure_checkpoint_dir, table
+from kinfold.plans.runtime import delete, ensure_checkpoint_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +55,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what a stage leaves is kept as a table in the shared folder and read again."""
+    """All stages; what a stage leaves is kept as a table in the shared folder and read again.
+
+    Each table is deleted once the next is written; the last one is read by the result and stays.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = f"{base}/{i}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            before = path
     return docs

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table's files, through the file system of the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """``df`` with new column identities, for joins and cogroups of tables that come from one."""
     return df.toDF(*df.columns)
