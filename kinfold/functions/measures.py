@@ -351,7 +351,7 @@ def position_wise(measure: Measure, compat: bool = False) -> Measure:
 def needs_python(measure: Measure) -> bool:
     """Whether an expression of the measure calls Python, which a lambda over an array cannot."""
     text = str(measure(F.col("a"), F.col("b"))._jc.toString()) if measure is not None else ""
-    return any(x in text for x in ("jaro_winkler(", "similarity_score(", "monge_elkan(", "stable_matching(", "cologne(", "surname_sound(", "encoder("))
+    return any(x in text for x in ("jaro_winkler(", "similarity_score(", "monge_elkan(", "stable_matching(", "cologne(", "beider_morse(", "encoder("))
 
 
 def stable_matching(measure: Measure) -> Measure:

@@ -103,8 +103,13 @@ def median(compat: bool = False) -> Resolution:
 
 
 def random(seed: int = 0) -> Resolution:
-    """One entry, chosen by a hash of the cluster's key."""
-    return Resolution(lambda vals, ctx: F.when(F.size(vals) > 0, F.slice(vals, F.pmod(F.xxhash64(ctx.key, F.lit(seed)), F.size(vals)).cast("int") + 1, 1)).otherwise(vals), True)
+    """One entry, chosen by a hash of the cluster's key and ``seed``."""
+
+    def run(vals: Column, ctx: Context) -> Column:
+        drawn = F.conv(F.substring(F.md5(F.concat_ws("|", ctx.key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+        return F.when(F.size(vals) > 0, F.slice(vals, (drawn % F.size(vals)).cast("int") + 1, 1)).otherwise(vals)
+
+    return Resolution(run, True)
 
 
 def first() -> Resolution:
