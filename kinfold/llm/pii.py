@@ -61,61 +61,41 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def feistel_number(n: str, a: str, b: str, tweak: str) -> str:
-    """SQL for a keyed permutation of 0 .. a*b-1: additive rounds on quotient (modulo a) and remainder (modulo b)."""
-    f = lambda half: f"cast(conv(substr(sha2(concat({tweak}, '|', r, '|', {half}), 256), 1, 12), 16, 10) as bigint)"
-    step = f"if(r % 2 = 0, named_struct('x', pmod(s.x + {f('s.y')}, {a}), 'y', s.y), named_struct('x', s.x, 'y', pmod(s.y + {f('s.x')}, {b})))"
-    start = f"named_struct('x', cast(({n}) div ({b}) as bigint), 'y', cast(pmod({n}, {b}) as bigint))"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> s.x * ({b}) + s.y)"
-
-
-def _turn(letters: int) -> str:
-    """SQL for the string ``h`` with the stream ``z``, three hex digits a character, added."""
-    k = "cast(conv(substr(z, 3 * i - 2, 3), 16, 10) as int)"
-    c = "ascii(substr(h, i, 1))"
-    return f"array_join(transform(sequence(1, length(h)), i -> case when {c} between 48 and 57 then char(48 + ({c} - 48 + {k}) % 10) when {c} between 97 and {96 + letters} then char(97 + ({c} - 97 + {k}) % {letters}) when {c} between 65 and 90 then char(65 + ({c} - 65 + {k}) % 26) else substr(h, i, 1) end), '')"
-
-
-def feistel_string(text: str, tweak: str, letters: int = 26) -> str:
-    """SQL for a keyed permutation of strings: digits stay digits, letters stay letters of their case, all else stays.
-
-    The halves are vectors; each round adds a keyed stream made from one half to the other, each character
-    modulo the size of its class. Classes do not change, so every round can be undone.
-    """
-    turn = _turn(letters)
-    stream = lambda half, n: f"array_join(transform(sequence(0, ({n} - 1) div 20), j -> substr(sha2(concat({tweak}, '|', r, '|', j, '|', {half}), 256), 1, 60)), '')"
-    added = lambda half, other: f"if(length({half}) = 0, '', {_let(half, 'h', _let(stream(other, 'length(h)'), 'z', turn))})"
-    step = f"if(r % 2 = 0, named_struct('x', {added('s.x', 's.y')}, 'y', s.y), named_struct('x', s.x, 'y', {added('s.y', 's.x')}))"
-    start = f"named_struct('x', substr({text}, 1, length({text}) div 2), 'y', substr({text}, length({text}) div 2 + 1))"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> concat(s.x, s.y))"
+    """SQL for a keyed permutation of 0 .. a*b-1 in rounds that change places: quotient (modulo a) and remainder (modulo b) each get a keyed number made from the other."""
+    f = f"cast(conv(substr(sha2(concat({tweak}, '|', r, '|', s.q), 256), 1, 12), 16, 10) as bigint)"
+    step = f"named_struct('p', s.q, 'q', pmod(s.p + {f}, if(r % 2 = 0, {a}, {b})))"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('p', cast(({n}) div ({b}) as bigint), 'q', cast(pmod({n}, {b}) as bigint)), (s, r) -> {step}, s -> s.p * ({b}) + s.q)"
 
 
 def _pieces(text: str) -> str:
     return f"regexp_extract_all({text}, '(?s).{{1,20}}', 0)"
 
 
-def feistel_pieces(text: str, tweak: str, letters: int = 26) -> str:
-    """``feistel_string`` for long strings: the halves are arrays of pieces of 20 characters, and a stream is made from the other half's hash."""
-    z = "substr(sha2(concat({t}, '|', r, '|', j, '|', o), 256), 1, 60)".replace("{t}", tweak)
-    added = lambda half, other: _let(f"sha2(array_join({other}, ''), 256)", "o", f"transform({half}, (h, j) -> {_let(z, 'z', _turn(letters))})")
-    step = f"if(r % 2 = 0, named_struct('x', {added('s.x', 's.y')}, 'y', s.y), named_struct('x', s.x, 'y', {added('s.y', 's.x')}))"
-    start = "named_struct('x', slice(p, 1, size(p) div 2), 'y', slice(p, size(p) div 2 + 1, size(p)))"
-    return _let(_pieces(text), "p", f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> {step}, s -> array_join(concat(s.x, s.y), ''))")
-
-
-def _one(c: str, tweak: str) -> str:
-    """SQL for a keyed permutation of a single digit or letter; as strings of one character have no second half, they are permuted as numbers."""
-    among = lambda first, half: f"char({first} + {feistel_number(f'ascii({c}) - {first}', '2L', half, tweak)})"
-    return f"case when {c} between '0' and '9' then {among(48, '5L')} when {c} between 'a' and 'z' then {among(97, '13L')} when {c} between 'A' and 'Z' then {among(65, '13L')} else {c} end"
+def feistel_string(text: str, tweak: str, letters: str = "26") -> str:
+    """SQL for a keyed permutation of strings: digits stay digits, letters stay letters of their case, all else stays.
 
+    The halves, in pieces of 20 characters, are vectors; each round adds a keyed stream made from one half (its hash, if
+    it is long) to the other, each character modulo the size of its class, and changes their places. Classes do not
+    change, so every round can be undone. Time is linear in the length.
+    """
+    k, c = "cast(conv(substr(z, 3 * i - 2, 3), 16, 10) as int)", "ascii(substr(h, i, 1))"
+    turned = f"array_join(transform(sequence(1, length(h)), i -> case when {c} between 48 and 57 then char(48 + ({c} - 48 + {k}) % 10) when {c} between 97 and 96 + {letters} then char(97 + ({c} - 97 + {k}) % {letters}) when {c} between 65 and 90 then char(65 + ({c} - 65 + {k}) % 26) else substr(h, i, 1) end), '')"
+    stream = f"substr(sha2(concat({tweak}, '|', r, '|', j, '|', o), 256), 1, 60)"
+    added = _let("array_join(s.q, '')", "e", _let("if(length(e) > 64, sha2(e, 256), e)", "o", f"transform(s.p, (h, j) -> {_let(stream, 'z', turned)})"))
+    start = f"named_struct('p', {_pieces(f'substr({text}, 1, length({text}) div 2)')}, 'q', {_pieces(f'substr({text}, length({text}) div 2 + 1)')})"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, r) -> named_struct('p', s.q, 'q', {added}), s -> array_join(concat(s.p, s.q), ''))"
 
-def permuted(text: str, tweak: str, letters: int = 26) -> str:
-    """SQL for a keyed permutation of strings of any length: their digits and letters are permuted by class, all else stays in its place."""
-    short = _let("regexp_replace(t, '[^A-Za-z0-9]', '')", "w", _let(f"if(length(w) = 1, {_one('w', tweak)}, {feistel_string('w', tweak, letters)})", "u", f"if(length(u) = length(t), u, {_refill('t', 'u', 'A-Za-z0-9')})"))
-    return _let(text, "t", f"if(length(t) <= {SHORT}, {short}, {feistel_pieces('t', tweak, letters)})")
 
+def permuted(text: str, tweak: str, letters: str = "26") -> str:
+    """SQL for a keyed permutation of strings of any length: their digits and letters are permuted by class, all else stays in its place.
 
-def _digits(m: str) -> str:
-    return f"regexp_replace({m}, '[^0-9]', '')"
+    A single digit or letter has no second half and is permuted as a number.
+    """
+    first = "named_struct('c', case when w between '0' and '9' then 48L when w between 'a' and 'z' then 97L else 65L end, 'n', case when w between '0' and '9' then 5L else 13L end)"
+    single = _let(first, "f", f"char(f.c + {feistel_number('ascii(w) - f.c', '2L', 'f.n', tweak)})")
+    # Strings of over SHORT characters have enough of them to be permuted where they stand.
+    stripped = _let(f"if(length({text}) <= {SHORT}, regexp_replace({text}, '[^A-Za-z0-9]', ''), {text})", "w", _let(f"if(length(w) = 1, {single}, {feistel_string('w', tweak, letters)})", "u", f"if(length(u) = length({text}), u, {_refill(text, 'u', 'A-Za-z0-9')})"))
+    return stripped
 
 
 def _refill(form: str, chars: str, places: str = "0-9") -> str:
@@ -131,152 +111,111 @@ def _luhn(digits: str) -> str:
 
 
 def _mod97(text: str) -> str:
-    """Remainder of an IBAN whose first four characters stand last, letters counted from A = 10."""
+    """Remainder of an account number whose first four characters stand last, letters counted from A = 10."""
     c = f"ascii(substr({text}, i, 1))"
     return f"aggregate(sequence(1, length({text})), 0L, (t, i) -> if({c} >= 65, (t * 100 + {c} - 55) % 97, (t * 10 + {c} - 48) % 97))"
 
 
-def _ip(m: str, key: str) -> str:
-    o = f"transform(split({m}, '[.]'), x -> cast(x as bigint))"
-    moved = feistel_number("o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]", "65536L", "65536L", f"concat({key}, 'ip')")
-    back = _let(moved, "v", "concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256)")
-    return _let(o, "o", f"if(array_max(o) > 255, {m}, {back})")
-
-
-def _date(m: str, key: str) -> str:
-    """Within its century, whose 36,524 or 36,525 days are 92 x 397 or 75 x 487.
-
-    Slashed dates are read day first; those that can only be read month first are permuted among themselves.
-    """
-    iso = f"{m} like '____-%'"
-    day = f"if({iso}, try_to_date({m}, 'yyyy-MM-dd'), try_to_date(translate({m}, '/', '.'), 'dd.MM.yyyy'))"
-    first_of = "make_date(year(d) div 100 * 100, 1, 1)"
-    leap = "year(d) div 100 % 4 = 0"
-    moved = feistel_number(f"datediff(d, {first_of})", f"if({leap}, 75L, 92L)", f"if({leap}, 487L, 397L)", f"concat({key}, 'date', year(d) div 100)")
-    written = f"case when {iso} then date_format(e, 'yyyy-MM-dd') when {m} like '%/%' then date_format(e, 'dd/MM/yyyy') else date_format(e, 'dd.MM.yyyy') end"
-    dated = _let(f"date_add({first_of}, cast({moved} as int))", "e", written)
-    return _let(day, "d", f"if(d is null or year(d) < 1, {_month_first(m, key)}, {dated})")
-
-
-def _month_first(m: str, key: str) -> str:
-    """MM/DD/YYYY with a day over 12: days to 28 with their month and year of the century (120 x 160); later days keep day and month, and get a year of the century (10 x 10) or, for February 29, a leap year (5 x 5 or 4 x 6)."""
-    date = f"try_to_date({m}, 'MM/dd/yyyy')"
-    y, c, day = "year(d)", "year(d) div 100", "day(d)"
-    early = feistel_number(f"({y} % 100 * 12 + month(d) - 1) * 16 + {day} - 13", "120L", "160L", f"concat({key}, 'month first', {c})")
-    written = f"concat(lpad(n div 16 % 12 + 1, 2, '0'), '/', n % 16 + 13, '/', lpad({c} * 100 + n div 192, 4, '0'))"
-    years = feistel_number(f"{y} % 100", "10L", "10L", f"concat({key}, 'year', {c})")
-    even = f"{c} % 4 = 0"
-    leaps = feistel_number(f"{y} % 100 div 4 - if({even}, 0, 1)", f"if({even}, 5L, 4L)", f"if({even}, 5L, 6L)", f"concat({key}, 'leap', {c})")
-    late = f"concat(substr({m}, 1, 6), lpad({c} * 100 + if(month(d) = 2, ({leaps} + if({even}, 0, 1)) * 4, {years}), 4, '0'))"
-    return _let(date, "d", f"if(d is null or year(d) < 1, {m}, if({day} <= 28, {_let(early, 'n', written)}, {late}))")
-
-
-def _ssn(m: str, key: str) -> str:
-    """898 areas (001 to 899 without 666), 99 groups and 9,999 serials."""
-    part = lambda a, n: f"cast(substr({m}, {a}, {n}) as bigint)"
-    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
-    n = f"(({area} - if({area} > 666, 2, 1)) * 99 + {group} - 1) * 9999 + {serial} - 1"
-    a = "v div 989901"
-    back = f"concat_ws('-', lpad({a} + if({a} >= 665, 2, 1), 3, '0'), lpad(v div 9999 % 99 + 1, 2, '0'), lpad(v % 9999 + 1, 4, '0'))"
-    moved = feistel_number(n, "88902L", "9999L", f"concat({key}, 'ssn')")
-    return f"if({area} in (0, 666) or {area} > 899 or {group} = 0 or {serial} = 0, {m}, {_let(moved, 'v', back)})"
-
-
-def _card(m: str, key: str) -> str:
-    """The first digit stays, the others but the last are permuted, the last makes the check sum right."""
-    inner = feistel_string("substr(d, 2, length(d) - 2)", f"concat({key}, 'card', substr(d, 1, 1))")
-    checked = _let(f"concat(substr(d, 1, 1), {inner})", "p", f"concat(p, (10 - {_luhn('''concat(p, '0')''')} % 10) % 10)")
-    return _let(_digits(m), "d", f"if({_luhn('d')} % 10 <> 0 or d rlike '^0', {m}, {_let(checked, 'q', _refill(m, 'q'))})")
-
-
-def _ten(t: str, key: str) -> str:
-    """Ten digits: those of a North American number (area and exchange from 200 on) among themselves, 80,000 x 80,000, all others too, 60,000 x 60,000."""
-    tweak = f"concat({key}, 'phone')"
-    part = lambda a, n: f"cast(substr({t}, {a}, {n}) as bigint)"
-    numbered = feistel_number(f"((({part(1, 1)} - 2) * 100 + {part(2, 2)}) * 8 + {part(4, 1)} - 2) * 1000000 + {part(5, 6)}", "80000L", "80000L", tweak)
-    valid = _let(numbered, "v", "concat(v div 800000000 + 2, lpad(v div 8000000 % 100, 2, '0'), v div 1000000 % 8 + 2, lpad(v % 1000000, 6, '0'))")
-    other = feistel_number(f"if({part(1, 1)} < 2, cast({t} as bigint), 2000000000 + ((({part(1, 1)} - 2) * 100 + {part(2, 2)}) * 2 + {part(4, 1)}) * 1000000 + {part(5, 6)})", "60000L", "60000L", f"concat({tweak}, '0')")
-    rest = "concat((v - 2000000000) div 200000000 + 2, lpad((v - 2000000000) div 2000000 % 100, 2, '0'), (v - 2000000000) div 1000000 % 2, lpad((v - 2000000000) % 1000000, 6, '0'))"
-    return f"if({t} rlike '^[2-9][0-9]{{2}}[2-9]', {valid}, {_let(other, 'v', f"""if(v < 2000000000, lpad(v, 10, '0'), {rest})""")})"
-
-
-def _phone(m: str, key: str) -> str:
-    """The last ten digits are permuted, a country code before them stays; of fewer than ten all but the first."""
-    short = f"concat(substr(d, 1, 1), {feistel_string('substr(d, 2)', f"""concat({key}, 'phone')""")})"
-    moved = _let("right(d, 10)", "t", f"concat(substr(d, 1, length(d) - 10), {_ten('t', key)})")
-    return _let(_digits(m), "d", f"if(length(d) < 7 or length(d) > 15, {m}, {_let(f'if(length(d) < 10, {short}, {moved})', 'q', _refill(m, 'q'))})")
-
-
 def _valid_iban(w: str) -> str:
     """Remainder 1, and check digits as they are given out: 02 to 98."""
     return f"substr({w}, 3, 2) between '02' and '98' and {_mod97(f'concat(substr({w}, 5), substr({w}, 1, 4))')} = 1"
 
 
-def _iban(m: str, key: str) -> str:
-    """The account part is permuted, then the two check digits are made right; blanks stay."""
-    moved = feistel_string("substr(w, 5)", f"concat({key}, 'iban', substr(w, 1, 2))")
-    zero = _mod97("concat(p, substr(w, 1, 2), '00')")
-    made = _let(moved, "p", f"concat(substr(w, 1, 2), lpad(98 - {zero}, 2, '0'), p)")
-    return _let(f"replace({m}, ' ', '')", "w", f"if({_valid_iban('w')}, {_let(made, 'u', f"""if(w = {m}, u, {_refill(m, 'u', 'A-Z0-9')})""")}, {m})")
-
-
-def _email(m: str, key: str) -> str:
-    """The part before the sign is lower-cased and permuted, apart for each domain."""
-    tweak = f"concat({key}, 'email', lower(substring_index({m}, '@', -1)))"
-    return f"concat({permuted(f"""substring_index(lower({m}), '@', 1)""", tweak)}, '@', substring_index({m}, '@', -1))"
-
-
-def _token(m: str, key: str, head: str) -> str:
-    """What follows ``head`` is permuted; letters keep their case."""
-    return _let(f"regexp_extract({m}, {_sql('^(?:' + head + ')')}, 0)", "b", f"concat(b, {permuted(f'substr({m}, length(b) + 1)', f"""concat({key}, 'secret')""")})")
-
-
-def _labelled(m: str, key: str) -> str:
-    """A value after a label, unless it is a plain word."""
-    return f"if({m} rlike {_sql('^' + LABELLED + '[A-Za-z]++$')}, {m}, {_token(m, key, LABELLED)})"
-
-
-def _secret(m: str, key: str) -> str:
-    """The lower-cased hex digits are permuted, then each letter gets its case back, so that a secret has one pseudonym in every case."""
-    tweak = f"concat({key}, 'secret')"
-    moved = f"if(length(w) <= {SHORT}, {feistel_string('w', tweak, 6)}, {feistel_pieces('w', tweak, 6)})"
-    mixed = f"array_join(zip_with({_pieces(m)}, {_pieces('v')}, (a, b) -> array_join(transform(sequence(1, length(a)), i -> if(substr(a, i, 1) between 'A' and 'F', upper(substr(b, i, 1)), substr(b, i, 1))), '')), '')"
-    cased = f"case when {m} = w then v when {m} = upper(w) then upper(v) else {mixed} end"
-    return _let(f"lower({m})", "w", _let(moved, "v", cased))
-
-
-def _kinds(m: str) -> list[tuple[str, str]]:
-    """What of the patterns a found value is. Upper-case hex may look like an IBAN and is one only if its check digits are right."""
-    hexadecimal = f"{m} rlike '^[0-9A-Fa-f]{{18,}}$'"
-    account = f"{m} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' and {_valid_iban(m)}"
-    return [
-        ("labelled", f"{m} rlike {_sql('^' + LABELLED)}"),
-        ("email", f"{m} like '%@%'"),
-        ("token", f"{m} rlike {_sql('^(?:' + TOKEN_HEADS + ')')}"),
-        ("iban", f"{m} rlike '^[A-Z]{{2}}' and (not {hexadecimal} or {account})"),
-        ("ip", f"{m} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$'"),
-        ("date", f"{m} rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}})$'"),
-        ("ssn", f"{m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'"),
-        ("secret", f"{hexadecimal} and {m} rlike '[A-Fa-f]'"),
-        ("phone", f"{m} rlike '^[+(]' or {m} rlike '^([0-9]{{3}}[ .-][0-9]{{3}}[ .-]?[0-9]{{4}}|[0-9]{{10}})$'"),
-        ("card", "true"),
-    ]
-
-
-def pseudonym_sql(m: str, key: str) -> str:
-    made = {
-        "labelled": _labelled(m, key),
-        "email": _email(m, key),
-        "token": _token(m, key, TOKEN_HEADS),
-        "iban": _iban(m, key),
-        "ip": _ip(m, key),
-        "date": _date(m, key),
-        "ssn": _ssn(m, key),
-        "secret": _secret(m, key),
-        "phone": _phone(m, key),
-        "card": _card(m, key),
+def _kind() -> str:
+    """SQL for what a found value ``m`` is. Upper-case hex may look like an account number and is one only if its check digits are right."""
+    hexadecimal = "m rlike '^[0-9A-Fa-f]{18,}$'"
+    account = f"m rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' and {_valid_iban('m')}"
+    tests = {
+        "labelled": f"m rlike {_sql('^' + LABELLED)}",
+        "email": "m like '%@%'",
+        "token": f"m rlike {_sql('^(?:' + TOKEN_HEADS + ')')}",
+        "iban": f"m rlike '^[A-Z]{{2}}' and (not {hexadecimal} or {account})",
+        "ip": "m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$'",
+        "date": "m rlike '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$'",
+        "ssn": "m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'",
+        "secret": f"{hexadecimal} and m rlike '[A-Fa-f]'",
+        "phone": "m rlike '^[+(]' or m rlike '^([0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|[0-9]{10})$'",
     }
-    return "case " + " ".join(f"when {test} then {made[kind]}" for kind, test in _kinds(m)) + " end"
+    return "case " + " ".join(f"when {test} then '{name}'" for name, test in tests.items()) + " else 'card' end"
+
+
+def _as_string(key: str) -> str:
+    """SQL for (head, body, tail, tweak, letters) of a value whose ``body`` is permuted as a string; null for values of other kinds and invalid ones.
+
+    What follows a token's head or a label is permuted, unless it is a plain word; of an address the part before the
+    sign, lower-cased and apart for each domain; of a card all digits but the first and the last; of an account number
+    what follows the check digits; of a phone number of fewer than ten digits all but the first.
+    """
+    struct = lambda head, body, tail, tweak, letters="26": f"named_struct('head', {head}, 'body', {body}, 'tail', {tail}, 'tweak', concat({key}, {tweak}), 'letters', {letters})"
+    after = lambda rx: _let(f"regexp_extract(m, {_sql('^(?:' + rx + ')')}, 0)", "b", struct("b", "substr(m, length(b) + 1)", "''", "'secret'"))
+    return f"""case k
+      when 'labelled' then if(m rlike {_sql('^' + LABELLED + '[A-Za-z]++$')}, null, {after(LABELLED)})
+      when 'token' then {after(TOKEN_HEADS)}
+      when 'email' then {struct("''", "substring_index(lower(m), '@', 1)", "concat('@', substring_index(m, '@', -1))", "'email', lower(substring_index(m, '@', -1))")}
+      when 'secret' then {struct("''", "lower(m)", "''", "'secret'", "6")}
+      when 'iban' then {_let("replace(m, ' ', '')", "w", f"if({_valid_iban('w')}, {struct('substr(w, 1, 2)', 'substr(w, 5)', "''", "'iban', substr(w, 1, 2)")}, null)")}
+      when 'card' then if({_luhn('d')} % 10 <> 0 or d rlike '^0', null, {struct('substr(d, 1, 1)', 'substr(d, 2, length(d) - 2)', "''", "'card', substr(d, 1, 1)")})
+      when 'phone' then if(length(d) between 7 and 9, {struct('substr(d, 1, 1)', 'substr(d, 2)', "''", "'phone'")}, null) end"""
+
+
+def _from_string() -> str:
+    """SQL for the value again, from ``x`` (see above) and the permuted body ``p``: check digits are made right, digits and letters go where they were, letters of a secret get their case back."""
+    upper = "transform(sequence(1, length(a)), i -> if(substr(a, i, 1) between 'A' and 'F', upper(substr(b, i, 1)), substr(b, i, 1)))"
+    mixed = f"array_join(zip_with({_pieces('m')}, {_pieces('p')}, (a, b) -> array_join({upper}, '')), '')"
+    account = _let("concat(x.head, lpad(98 - " + _mod97("concat(p, x.head, '00')") + ", 2, '0'), p)", "q", f"if(length(q) = length(m), q, {_refill('m', 'q', 'A-Z0-9')})")
+    check = _let("concat(q, '0')", "g", f"(10 - {_luhn('g')} % 10) % 10")
+    digits = _let("concat(x.head, p)", "q", _let(f"if(k = 'phone', q, concat(q, {check}))", "z", _refill("m", "z")))
+    return f"case k when 'secret' then case when m = x.body then p when m = upper(x.body) then upper(p) else {mixed} end when 'iban' then {account} when 'card' then {digits} when 'phone' then {digits} else concat(x.head, p, x.tail) end"
+
+
+def _as_number(key: str) -> str:
+    """SQL for (n, a, b, tweak, d, form) of a value that is permuted as a number n below a * b; null for values of other kinds and invalid ones.
+
+    Addresses: 65,536 x 65,536. Dates, day first where slashed (form 0): within their century, whose 36,524 or 36,525
+    days are 92 x 397 or 75 x 487. Dates that can only be read month first are permuted among themselves: days to 28 with
+    their month and year of the century (form 1; 120 x 160); later days keep day and month and get a year of the century
+    (form 2; 10 x 10) or, for February 29, a leap year (form 3; 5 x 5 or 4 x 6). Social security numbers: 898 areas (001 to
+    899 without 666), 99 groups, 9,999 serials. Of phone numbers the last ten digits: those of a North American number
+    (area and exchange from 200 on; form 0) among themselves, 80,000 x 80,000, all others (form 1) too, 60,000 x 60,000.
+    """
+    struct = lambda n, a, b, tweak, d="cast(null as date)", form="0": f"named_struct('n', cast({n} as bigint), 'a', cast({a} as bigint), 'b', cast({b} as bigint), 'tweak', concat({key}, {tweak}), 'd', {d}, 'form', {form})"
+    day = "if(m like '____-%', try_to_date(m, 'yyyy-MM-dd'), try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy'))"
+    dated = _let(f"named_struct('d', coalesce({day}, if(m like '%/%', try_to_date(m, 'MM/dd/yyyy'), null)), 'day', {day} is not null)", "e", _let("named_struct('y', year(e.d), 'c', year(e.d) div 100, 'f', case when e.day then 0 when day(e.d) <= 28 then 1 when month(e.d) <> 2 then 2 else 3 end)", "f", "if(e.d is null or f.y < 1, null, " + struct(
+        "case f.f when 0 then datediff(e.d, make_date(f.c * 100, 1, 1)) when 1 then (f.y % 100 * 12 + month(e.d) - 1) * 16 + day(e.d) - 13 when 2 then f.y % 100 else f.y % 100 div 4 - if(f.c % 4 = 0, 0, 1) end",
+        "case f.f when 0 then if(f.c % 4 = 0, 75, 92) when 1 then 120 when 2 then 10 else if(f.c % 4 = 0, 5, 4) end",
+        "case f.f when 0 then if(f.c % 4 = 0, 487, 397) when 1 then 160 when 2 then 10 else if(f.c % 4 = 0, 5, 6) end",
+        "case f.f when 0 then 'date' when 1 then 'month first' when 2 then 'year' else 'leap' end, f.c", "e.d", "f.f") + ")"))
+    at = lambda a, n: f"cast(substr(m, {a}, {n}) as bigint)"
+    ssn = f"if({at(1, 3)} in (0, 666) or {at(1, 3)} > 899 or {at(5, 2)} = 0 or {at(8, 4)} = 0, null, {struct(f'(({at(1, 3)} - if({at(1, 3)} > 666, 2, 1)) * 99 + {at(5, 2)} - 1) * 9999 + {at(8, 4)} - 1', '88902', '9999', "'ssn'")})"
+    ten = lambda a, n: f"cast(substr(t, {a}, {n}) as bigint)"
+    known = struct(f"((({ten(1, 1)} - 2) * 100 + {ten(2, 2)}) * 8 + {ten(4, 1)} - 2) * 1000000 + {ten(5, 6)}", "80000", "80000", "'phone'")
+    other = struct(f"if({ten(1, 1)} < 2, cast(t as bigint), 2000000000 + ((({ten(1, 1)} - 2) * 100 + {ten(2, 2)}) * 2 + {ten(4, 1)}) * 1000000 + {ten(5, 6)})", "60000", "60000", "'phone0'", form="1")
+    phone = _let("right(d, 10)", "t", f"if(t rlike '^[2-9][0-9]{{2}}[2-9]', {known}, {other})")
+    address = _let("transform(split(m, '[.]'), x -> cast(x as bigint))", "o", f"if(array_max(o) > 255, null, {struct('o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]', '65536', '65536', "'ip'")})")
+    return f"case k when 'ip' then {address} when 'date' then {dated} when 'ssn' then {ssn} when 'phone' then if(length(d) between 10 and 15, {phone}, null) end"
+
+
+def _from_number() -> str:
+    """SQL for the value again, from ``y`` (see above) and the permuted number ``v``."""
+    address = "concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256)"
+    written = "case when m like '____-%' then date_format(e, 'yyyy-MM-dd') when m like '%/%' then date_format(e, 'dd/MM/yyyy') else date_format(e, 'dd.MM.yyyy') end"
+    c, month = "year(y.d) div 100", "concat(substr(m, 1, 6), lpad({c} * 100 + {y}, 4, '0'))"
+    early = f"concat(lpad(v div 16 % 12 + 1, 2, '0'), '/', v % 16 + 13, '/', lpad({c} * 100 + v div 192, 4, '0'))"
+    dated = f"case y.form when 0 then {_let(f'date_add(make_date({c} * 100, 1, 1), cast(v as int))', 'e', written)} when 1 then {early} when 2 then {month.format(c=c, y='v')} else {month.format(c=c, y=f'(v + if({c} % 4 = 0, 0, 1)) * 4')} end"
+    area = "v div 989901"
+    ssn = f"concat_ws('-', lpad({area} + if({area} >= 665, 2, 1), 3, '0'), lpad(v div 9999 % 99 + 1, 2, '0'), lpad(v % 9999 + 1, 4, '0'))"
+    known = "concat(v div 800000000 + 2, lpad(v div 8000000 % 100, 2, '0'), v div 1000000 % 8 + 2, lpad(v % 1000000, 6, '0'))"
+    other = "if(v < 2000000000, lpad(v, 10, '0'), concat((v - 2000000000) div 200000000 + 2, lpad((v - 2000000000) div 2000000 % 100, 2, '0'), (v - 2000000000) div 1000000 % 2, lpad((v - 2000000000) % 1000000, 6, '0')))"
+    phone = _let(f"concat(substr(d, 1, length(d) - 10), if(y.form = 0, {known}, {other}))", "z", _refill("m", "z"))
+    return f"case k when 'ip' then {address} when 'date' then {dated} when 'ssn' then {ssn} else {phone} end"
+
+
+def found_sql(key: str) -> str:
+    """SQL for (kind, value, pseudonym) of a found value ``m``; both permutations stand in it once, as every part of a plan costs the driver."""
+    by_string = _let(permuted("x.body", "x.tweak", "x.letters"), "p", _from_string())
+    by_number = _let(feistel_number("y.n", "y.a", "y.b", "y.tweak"), "v", _from_number())
+    value = _let(_as_string(key), "x", _let(_as_number(key), "y", f"case when x is not null then {by_string} when y is not null then {by_number} else m end"))
+    return _let("regexp_replace(m, '[^0-9]', '')", "d", _let(_kind(), "k", f"named_struct('kind', k, 'value', m, 'pseudonym', {value})"))
 
 
 def pattern() -> str:
@@ -303,8 +242,7 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", found: str | None
     if not key:
         raise ValueError("pseudonyms need a key")
     rx, k = _sql(pattern()), _sql("kinfold-key:" + hashlib.sha256(b"kinfold pseudonyms|" + key.encode()).hexdigest() + "|")
-    kind = "case " + " ".join(f"when {test} then '{name}'" for name, test in _kinds("m")) + " end"
-    hits = f"transform(regexp_extract_all(`{text}`, {rx}, 0), m -> named_struct('kind', {kind}, 'value', m, 'pseudonym', {pseudonym_sql('m', k)}))"
+    hits = f"transform(regexp_extract_all(`{text}`, {rx}, 0), m -> {found_sql(k)})"
     name = found or next(n for n in ("_found" + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns)
     out = df.withColumn(name, F.expr(hits))
     rebuilt = f"array_join(zip_with(split(`{text}`, {rx}, -1), `{name}`, (a, b) -> concat(a, coalesce(b.pseudonym, ''))), '')"
