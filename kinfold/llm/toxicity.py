@@ -20,7 +20,7 @@ from kinfold.plans.runtime import table
 BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 6
 #: Bounds of the training sample: rows of each class, and words of a text. Of a text with more, stretches of ``STRETCH`` words are drawn from all over it.
 PER_CLASS, WORDS_PER_TEXT, STRETCH = {0: 5000, 1: 2000}, 4096, 64
-EPOCHS, BATCH, RATE, SEED = 8, 64, 0.1, 11
+EPOCHS, BATCH, RATE, SEED = 40, 64, 0.1, 11
 #: Words that are scored at once.
 SLICE = 1 << 17
 _N = 1 << BITS
@@ -70,8 +70,12 @@ def forward(model: dict, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
     cuts = np.stack([starts[full], ends[full]], 1).ravel()
     n = (ends - starts)[full]
     inside = np.arange(n.sum()) + np.repeat(starts[full] - (np.cumsum(n) - n), n)
+    g, done = e @ np.concatenate([model["kernels"][w][k] for w, k in _COLUMNS], 1), 0
     for i, w in enumerate(WIDTHS):
-        conv = sum(np.pad(e[k:], ((0, k), (0, 0))) @ model["kernels"][w][k] for k in range(w))
+        conv = g[:, done * FILTERS : (done + 1) * FILTERS].copy()
+        for k in range(1, w):
+            conv[: len(conv) - k] += g[k:, (done + k) * FILTERS : (done + k + 1) * FILTERS]
+        done += w
         cols = slice(i * FILTERS, (i + 1) * FILTERS)
         if len(cuts):
             best = np.maximum.reduceat(conv, cuts, 0)[::2]
