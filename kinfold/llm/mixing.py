@@ -179,7 +179,8 @@ def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # Of m equal rows the first get one copy more than the others, so that all copies of the mix are given out.
     a, b = moved.alias("a"), odd.alias("b")
     same = F.expr("a._key <=> b._key and a._source <=> b._source and a._tie = b._tie")
-    single = a.join(b, same, "left").where("b.m is null or b.m = 1").select("a._row", F.coalesce("b.taken", "a.usual").alias("n"))
+    # Sorted, as a join may leave its rows in the order in which they came.
+    single = a.join(b, same, "left").where("b.m is null or b.m = 1").select("a._tie", "a._key", "a._row", F.coalesce("b.taken", "a.usual").alias("n")).sortWithinPartitions("_tie", "_key").select("_row", "n")
     kept = rows.where("not _moves").select("_row", F.col("usual").alias("n"))
     out = kept.unionByName(single)
     repeated = odd.where("m > 1")
