@@ -101,3 +101,21 @@ def test_changes_and_oracle(spark):
     assert set(clusters_of(k.oracle_clustering(pairs, before))) == {8}
     store = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, v long, w string")
     assert {(r.k, r.w) for r in k.last_versions(store, "k", "v").collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_greedy_partition_by_whole_scores():
+    """Against the score of every trial, computed from all edges."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(2, 25))
+        edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, n, 3 * n), rng.integers(0, n, 3 * n), rng.uniform(-1, 1, 3 * n), strict=True)]
+        label = list(range(n))
+        for a, b, _ in sorted(edges, key=lambda e: -e[2]):
+            x, y = sorted((label[a], label[b]))
+            trial = [x if v == y else v for v in label]
+            before, after = k.scores(np.array([label, trial]), edges)
+            if after - before > k.TINY:
+                label = trial
+        assert k.greedy_partition(n, edges) == label
+    ring = [(i, (i + 1) % 20_000, 1.0) for i in range(20_000)]
+    assert len(k.greedy_partition(20_000, ring)) == 20_000
