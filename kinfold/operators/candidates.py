@@ -13,11 +13,15 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from kinfold.operators.filters import key_filter, with_membership
 from kinfold.plans.runtime import cut_lineage, fresh
 
 DEFAULT_WINDOW = 10
+#: Characters of a key's last part by which rows are sorted; what follows moves only where it decides.
+HEAD = 64
 
 
 @dataclass(frozen=True)
@@ -65,6 +69,32 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
     return local.join(F.broadcast(shift), "_part").withColumn(out, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
+def key_rank(keyed: DataFrame) -> DataFrame:
+    """(id, rank) of (id, key), ordered by key, then id, without nulls.
+
+    A key that ends in a long text is sorted by the first ``HEAD`` characters of it. Where different texts share these,
+    one row of each text is fetched and these texts are ranked apart; copies of a text never move with it. Shorter texts
+    precede all longer ones of the same beginning, and earlier parts of a key stay whole, so the order is that of whole keys.
+    """
+    parts = keyed.schema["key"].dataType.fields
+    if parts[-1].dataType != StringType():
+        return global_rank(keyed, ["key", "id"], keep=["id"])
+    last = F.col("key")[parts[-1].name]
+    head = F.struct(*[F.col("key")[p.name].alias(p.name) for p in parts[:-1]], F.substring(last, 1, HEAD).alias("head"))
+    whole = keyed.select("id", "key", head.alias("head"), F.when(F.length(last) > HEAD, F.sha2(last, 256)).alias("digest"))
+    rows = cut_lineage(whole.drop("key"))
+    contents = cut_lineage(rows.where("digest is not null").groupBy("head", "digest").agg(F.min("id").alias("id")))
+    shared = contents.groupBy("head").count().where("count > 1").select("head")
+    contested = cut_lineage(fresh(contents).join(shared, "head", "left_semi").select("head", "digest", "id"))
+    possible = with_membership(whole.where("digest is not null"), key_filter(contested, ["id"]), ["id"], "_possible").where("_possible")
+    texts = possible.select("head", "digest", "id", "key").join(fresh(contested), ["head", "digest", "id"], "left_semi")
+    # Repeated rows of one id give a text several positions, of which one counts.
+    order = global_rank(texts, ["key"], "order", keep=["head", "digest"]).groupBy("head", "digest").agg(F.min("order").alias("order"))
+    placed = rows.where("digest is not null").join(order, ["head", "digest"], "left").select("id", "head", F.coalesce("order", F.lit(0)).alias("order"))
+    placed = placed.union(rows.where("digest is null").select("id", "head", F.lit(-1).cast("long")))
+    return global_rank(placed, ["head", "order", "id"], keep=["id"])
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames).distinct()
 
@@ -78,7 +108,7 @@ def sorted_neighborhood(df: DataFrame, keys: Sequence, id_col: str = "id", defau
     found = []
     for p in passes(keys, default_window):
         keyed = df.select(F.col(id_col).alias("id"), p.key.column().alias("key")).where("key is not null and id is not null")
-        ranked = global_rank(keyed, ["key", "id"], keep=["id"]).select("id", "rank", F.floor(F.col("rank") / p.window).alias("stretch"))
+        ranked = key_rank(keyed).select("id", "rank", F.floor(F.col("rank") / p.window).alias("stretch"))
         here = ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra"), F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch"))
         there = ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb"), "stretch")
         pairs = here.join(there, "stretch").where(f"rb - ra between 1 and {p.window - 1}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import candidates, classify, clustering, fusion
+from kinfold.operators.filters import key_filter, with_membership
 from kinfold.plans.runtime import cut_lineage
 
 
@@ -73,12 +74,19 @@ class Deduplication:
         """The records' columns, an array ``errors`` and the number ``n_records`` that each row stands for."""
         i = self.detection.id_col
         clusters = cut_lineage(self.detection.clusters(records, previous))
-        members = records.join(clusters.withColumnRenamed("record_id", i), i)
+        # Most rows are in no cluster, and those that are surely in none do not move.
+        known = key_filter(clusters, [F.col("record_id").cast(records.schema[i].dataType)])
+        mark = "_clustered"
+        while mark in records.columns:
+            mark = f"_{mark}"
+        parted = with_membership(records, known, [i], mark)
+        near, alone = parted.where(mark).drop(mark), parted.where(~F.col(mark)).drop(mark)
+        members = near.join(clusters.withColumnRenamed("record_id", i), i)
         fused = self.accept(fusion.fuse(members, "cluster_id", self.merging, self.source_col, self.ts_col, self.arrival_col, self.weights))
         names = [f.name for f in self.merging.fields]
         values = [F.col(f"fused.{c}").alias(c) if c in names else F.lit(None).cast(records.schema[c].dataType).alias(c) for c in records.columns]
         # Only the merged record is kept; the originals stay where they are.
         merged = cut_lineage(fused.select(F.col("cluster_id").alias("_cluster"), *values, "errors", F.size("originals").alias("n_records")))
         done = clusters.join(merged.select(F.col("_cluster").alias("cluster_id")), "cluster_id", "left_semi").select(F.col("record_id").alias(i))
-        rest = records.join(done, i, "left_anti").select(*records.columns, F.array().cast("array<string>").alias("errors"), F.lit(1).alias("n_records"))
+        rest = near.join(done, i, "left_anti").select(*records.columns).union(alone.select(*records.columns)).select(*records.columns, F.array().cast("array<string>").alias("errors"), F.lit(1).alias("n_records"))
         return rest.union(merged.drop("_cluster"))

@@ -49,3 +49,21 @@ def test_passes_and_keys(spark):
     joined = c.with_records(pairs, df)
     assert joined.select("left.a", F.col("right.a").alias("r")).first() == ("b", "a")
     assert {r.rank for r in c.global_rank(df, ["a", "id"]).collect()} == {0, 1, 2}
+
+
+def test_keys_that_end_in_long_texts(spark):
+    rng = random.Random(3)
+    heads = ["", "a", "\u00e4" * c.HEAD, "a" * c.HEAD, "a" * (c.HEAD - 1) + "\U0001f600", "a" * (c.HEAD - 1)]
+    texts = [h + t for h in heads for t in ("", "a", "b", "ab" * c.HEAD, "\uffff", "\U0001f600")]
+    rows = [(i, rng.choice(["x", "xy"]), rng.choice(texts)) for i in range(400)] + [(400, None, "a"), (401, "x", None)]
+    df = spark.createDataFrame(rows + rows[:5], "id long, lang string, text string")
+    key = c.sorting_key("k", "lang", "text")
+    ranked = c.key_rank(df.select("id", key.column().alias("key")).where("key is not null"))
+    got = [r.id for r in ranked.orderBy("rank").collect()]
+    whole = sorted((r[1].encode(), r[2].encode(), r[0]) for r in [*rows[:400], *rows[:5]])
+    assert got == [r[2] for r in whole]
+    assert c.sorted_neighborhood(df.limit(0), [key]).count() == 0
+    pairs = c.sorted_neighborhood(df, [key], default_window=3)
+    order = [r[2] for r in whole]
+    want = {(max(a, b), min(a, b)) for x, a in enumerate(order) for b in order[x + 1 : x + 3] if a != b}
+    assert {tuple(r) for r in pairs.collect()} == want
