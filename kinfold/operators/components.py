@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     both = cut_lineage(one.union(one.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    n = both.count()  # nodes are no more
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), n)
     for _ in range(max_rounds):
         heard = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label", F.lit(False).alias("own"))
         step = (
@@ -27,9 +28,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .groupBy("node")
             .agg(F.min("label").alias("label"), F.min(F.when(F.col("own"), F.col("label"))).alias("was"))
         )
-        step = cut_lineage(step)
+        step = cut_lineage(step, n)
         if step.where("label <> was").limit(1).count() == 0:
             return step.select("node", F.col("label").alias("component"))
         up = step.select(F.col("node").alias("of"), F.col("label").alias("higher"))
-        labels = cut_lineage(step.join(up, step.label == up.of).select("node", F.col("higher").alias("label")))
+        labels = cut_lineage(step.join(up, step.label == up.of).select("node", F.col("higher").alias("label")), n)
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task and a file get at least where a table's size is known.
+ROWS_A_FILE = 1 << 14
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
@@ -25,9 +28,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder, so that a lost executor costs no recomputation of its past."""
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Compute ``df`` once and keep it in the checkpoint folder, so that a lost executor costs no recomputation of its past.
+
+    ``rows``: about how many its last stage reads and makes at most, if that is known. A small table then goes into few files: each costs
+    a request, and on a local file system a process that the executor starts. Large tables keep all their partitions.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 

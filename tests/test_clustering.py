@@ -31,6 +31,25 @@ def test_components(spark, n, m):
     assert got == want
 
 
+def test_components_of_few_edges_leave_few_files(spark, tmp_path):
+    """Each file of a lineage cut is a process of the executor's on a local file system; only the edge table has one a shuffle partition."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+        assert {r.component for r in connected_components(edges).collect()} == {0}
+        files = len(list(tmp_path.rglob("part-*")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", named)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        if before:
+            sc._jsc.sc().setCheckpointDir(before.rsplit("/", 1)[0])
+    assert files < 2 * 40, files
+
+
 def clusters_of(df):
     out = {}
     for r in df.collect():
