@@ -6,6 +6,7 @@ pattern ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nothing is cut: documents of
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1 << 20
+#: Bytes of text that are handled at once, and rows of a batch: each worker holds some forty bytes for each byte, and copies of the rows.
+_CHUNK, ROWS = 1 << 18, 1024
 
 
 def word_table() -> np.ndarray:
@@ -51,6 +53,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, which else a worker keeps while other stages run."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows in order, in batches of at most ``ROWS``."""
+    give_back()
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            yield batch.slice(s, ROWS)
+    give_back()
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """Nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,7 +103,7 @@ def _pieces(raw: bytes, limit: int) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: list[bytes], limit: int = 4 * _CHUNK) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], limit: int = _CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and where each text's words begin (one more entry than texts).
 
     A text of over ``limit`` bytes goes piece by piece, so that memory is that of its hashes and of one piece.

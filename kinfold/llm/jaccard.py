@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm._text import chunks, mix, shingle_set, texts_as_bytes, word_hashes
+from kinfold.llm._text import chunks, mix, shingle_set, slices, texts_as_bytes, word_hashes
 from kinfold.operators.components import connected_components
 from kinfold.operators.filters import key_filter, with_membership
 from kinfold.plans.runtime import cut_lineage, table
@@ -110,7 +110,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFr
     """(doc_id, h1, h2, n, tokens) of every row with a key and a text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             h1, h2, n, tokens = [], [], [], []
             for s in _shingles(texts_as_bytes(batch.column(1)), words):
                 h1.append(mix(s).sum(dtype=np.uint64))
@@ -131,6 +131,11 @@ def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, TOKENS)
 
 
+def keyed_rows(sets: int, runs: int, depth: int = DEPTH) -> int:
+    """About how many rows the paths of so many sets have."""
+    return math.ceil(sets * runs * (1 + SECOND) ** depth)
+
+
 def _keyed(reps: DataFrame, runs: int) -> DataFrame:
     """Rows of all paths. Paths follow tokens of 16 bits; into the buckets go 8 bits of each, which tell sets apart as well and weigh half."""
     def run(batches):
@@ -236,9 +241,10 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, deepest: int = DEEPEST) -> DataFrame:
     """(src, dst): spanning edges over nodes that may be linked."""
-    rows, depth, edges = _keyed(reps, runs_needed(threshold, recall, max(deepest, DEPTH))), DEPTH, None
+    runs = runs_needed(threshold, recall, max(deepest, DEPTH))
+    rows, depth, edges, n = _keyed(reps, runs), DEPTH, None, reps.count()
     while True:
-        large = cut_lineage(rows.groupBy("key").count().where(F.col("count") > bucket))
+        large = cut_lineage(rows.groupBy("key").count().where(F.col("count") > bucket), keyed_rows(n, runs, depth) // bucket, after=True)
         if large.limit(1).count() == 0:
             found, rest = _edges_of_buckets(rows, threshold), None
         else:
@@ -334,18 +340,20 @@ def verified(df: DataFrame, reps: DataFrame, components: DataFrame, key: str, te
     def packed(x: pd.Series) -> pd.Series:
         return pd.Series([s.tobytes() for s in _shingles([t.encode() for t in x], words)], dtype=object)
 
-    members = cut_lineage(components.withColumnRenamed("node", "rep").join(reps.select("rep", "n", "copies"), "rep"))
+    members = cut_lineage(components.withColumnRenamed("node", "rep").join(reps.select("rep", "n", "copies"), "rep"), reps.count())
+    n_members = members.count()
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
     block = F.least(F.greatest(F.col("m") / 24, F.lit(float(whole // 2))), F.lit(2048.0))
     blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("shingles") * 2 / WHOLE_SHINGLES)).cast("int")
-    large = cut_lineage(size.where((F.col("m") > whole) | (F.col("shingles") > WHOLE_SHINGLES)).select("component", blocks.alias("blocks")))
-    split = large.limit(1).count() > 0
+    large = cut_lineage(size.where((F.col("m") > whole) | (F.col("shingles") > WHOLE_SHINGLES)).select("component", blocks.alias("blocks"), "m"), n_members)
+    n_large, n_sent = large.agg(F.count(F.lit(1)), F.sum(F.col("m") * F.col("blocks"))).first()
+    split = n_large > 0
     texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null and text is not null")
     # Most texts are candidates of nothing: they go no further than their own partition.
-    asked = with_membership(texts, key_filter(members, ["rep"]), ["rep"], "asked").where("asked").select("rep", "text")
+    asked = with_membership(texts, key_filter(members, ["rep"], n_members), ["rep"], "asked").where("asked").select("rep", "text")
     sets = asked.withColumn("shingles", packed("text")).drop("text").join(members.select("rep", "component", "copies"), "rep")
     if split:
-        sets = sets.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        sets = sets.join(large.drop("m"), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         sets = sets.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         group = F.xxhash64("component", F.least("mine", "theirs"), F.greatest("mine", "theirs"))
@@ -374,8 +382,8 @@ def verified(df: DataFrame, reps: DataFrame, components: DataFrame, key: str, te
     checked = sets.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(run, "rep long, links long, class long")
     if not split:
         return checked
-    checked = cut_lineage(checked)
-    classes = connected_components(checked.select(F.col("rep").alias("src"), F.col("class").alias("dst")))
+    checked = cut_lineage(checked, n_members + n_sent, after=True)
+    classes = connected_components(checked.select(F.col("rep").alias("src"), F.col("class").alias("dst")), most=n_members + n_sent)
     summed = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     return summed.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "links", F.coalesce("component", "rep").alias("class"))
 
@@ -395,18 +403,26 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     numbers that name documents: repeated rows are copies of one another, and where rows of one key differ in their texts
     that key stands for all of them, with the union of their sets in comparisons. An empty table gives no rows.
     """
+    return _joined(df, key, text, threshold, words, recall, bucket, whole, deepest)[0]
+
+
+def _joined(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, whole: int = WHOLE, deepest: int = DEEPEST) -> tuple[DataFrame, int]:
+    """The join, and its number of rows with a key and a text."""
     if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{key} must be a whole number")
     rows = cut_lineage(signatures(df, key, text, words))
-    reps = cut_lineage(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens")))
-    components = connected_components(candidate_edges(reps, threshold, recall, bucket, deepest))
+    n_rows = rows.count()
+    reps = cut_lineage(rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens")), n_rows)
+    n = reps.count()
+    most = keyed_rows(n, runs_needed(threshold, recall, max(deepest, DEPTH)))
+    components = connected_components(candidate_edges(reps, threshold, recall, bucket, deepest), most=most)
     exact = verified(df, reps, components, key, text, threshold, words, whole)
-    known = cut_lineage(reps.select("h1", "h2", "n", "rep", "copies").join(exact, "rep", "left"))
+    known = cut_lineage(reps.select("h1", "h2", "n", "rep", "copies").join(exact, "rep", "left"), n)
     out = rows.select("doc_id", "h1", "h2", "n").join(known, ["h1", "h2", "n"]).select(
         "doc_id", F.coalesce("class", "rep").alias("class_id"), F.col("rep").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     apart = df.where(F.col(key).isNull() | F.col(text).isNull()).select(F.col(key).cast("long").alias("doc_id"))
-    return out.union(apart.select("doc_id", "doc_id", "doc_id", F.lit(0).cast("long")))
+    return out.union(apart.select("doc_id", "doc_id", "doc_id", F.lit(0).cast("long"))), n_rows
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,10 +431,11 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Rows with a null key stay. Columns keep their names, whatever they are. Only the rows in question move: those of
     classes with other keys and of repeated keys, and the few that the filter takes for such.
     """
-    ids = jaccard_join(df, key, text).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("class"))
-    doubtful = cut_lineage(ids.where("n > 1 or class <> doc_id").select("doc_id", (F.col("class") == F.col("doc_id")).alias("head")))
+    joined, n = _joined(df, key, text)
+    ids = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("class"))
+    doubtful = cut_lineage(ids.where("n > 1 or class <> doc_id").select("doc_id", (F.col("class") == F.col("doc_id")).alias("head")), n, after=True)
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = with_membership(rows, key_filter(doubtful, ["doc_id"]), ["id"], "moves")
+    marked = with_membership(rows, key_filter(doubtful, ["doc_id"], doubtful.count()), ["id"], "moves")
     once = marked.where("moves").groupBy("id", F.xxhash64("text").alias("h"), F.col("text").isNull().alias("none")).agg(F.first("row").alias("row"))
     moved = once.join(doubtful, F.col("id") == F.col("doc_id"), "left").where("head is null or head").select("row")
     return marked.where("not moves").select("row").unionByName(moved).select("row.*")

@@ -50,14 +50,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, large
     ``largest`` times its source's size and the excess is shared anew. In order of the size at which they stop, the
     stopped sources come first, so one running sum over the sources (not the rows) finds the level of the others.
     """
-    one = cut_lineage(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("rows")).otherwise(0)).alias("n_open")))
+    one = cut_lineage(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("rows")).otherwise(0)).alias("n_open")), sizes.count())
     n, total = one.agg(F.count(F.lit(1)), F.sum("source_size")).first()
     few = n <= FEW_SOURCES
     turn = F.array(*[F.lit(float(w)) for w in weights])
     ranked = _running(one, [F.col("source").asc_nulls_last()], {}, few).withColumn("rank", (F.col("before") + 1).cast("int")).drop("before")
     ranked = ranked.withColumn("weight", F.element_at(turn, (F.col("rank") - 1) % len(weights) + 1)).withColumn("stop", F.col("source_size") * F.lit(float(largest)))
     by_stop = [(F.col("stop") / F.col("weight")).asc(), F.col("rank").asc()]
-    summed = cut_lineage(_running(ranked, by_stop, {"stops": F.col("stop"), "weights": F.col("weight")}, few))
+    summed = cut_lineage(_running(ranked, by_stop, {"stops": F.col("stop"), "weights": F.col("weight")}, few), n)
     all_weights = summed.agg(F.sum("weight")).first()[0] or 0.0
     levelled = summed.withColumn("level", (F.lit(float(total or 0)) - F.col("stops")) / (F.lit(float(all_weights)) - F.col("weights"))).withColumn("stopped", F.col("stop") <= F.col("weight") * F.col("level"))
     rest = levelled.agg(F.max(F.when(~F.col("stopped"), F.col("level")))).first()[0]
@@ -109,6 +109,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     texts without words are never taken; null sources form one source, the last; an empty table gives no rows; other
     columns take no part. The random numbers are hashes of key, text and ``seed``, so reruns agree.
     """
+    return _mixed(df, key, text, source, seed, weights, largest)[0]
+
+
+def _mixed(df: DataFrame, key: str, text: str, source: str, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, largest: float = LARGEST) -> tuple[DataFrame, int]:
+    """The mix, and its number of rows."""
     kind = df.schema[key].dataType.simpleString()
     measured = df.select(
         F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("tie"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
@@ -119,6 +124,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     blocks = groups.where(F.col("rows") > BLOCK).withColumn("block", F.explode(F.expr(f"sequence(0L, (rows - 1) div {BLOCK})"))).repartition("doc_id", "source", "tie", "block")
     many = blocks.withColumn("occ", F.explode(F.expr(f"sequence(cast(block * {BLOCK} + 1 as int), cast(least(rows, (block + 1) * {BLOCK}) as int))")))
     sizes = one.select("doc_id", "source", "tie", "size", "occ").union(many.select("doc_id", "source", "tie", "size", "occ"))
+    n_rows = left = groups.agg(F.sum("rows")).first()[0] or 0
     sources = cut_lineage(source_targets(groups, weights, largest))
     n_sources, most = sources.agg(F.count(F.lit(1)), F.max("n_open")).first()
     side = sources.withColumnRenamed("source", "_source")
@@ -141,16 +147,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             .groupBy(*about, "n", "group")
             .agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", u.alias("u"), "doc_id", "tie", "occ", "p")))).alias("units"))
         )
-        folded = cut_lineage(gathered.select(*about, "n", F.expr((_fold if level else _leaf)("units", kind)).alias("f")))
+        folded = cut_lineage(gathered.select(*about, "n", F.expr((_fold if level else _leaf)("units", kind)).alias("f")), left)
         settled.append(folded.select(*about, F.explode("f.done").alias("x")).select(*about, "x.doc_id", "x.tie", "x.occ", "x.size", "x.p"))
         units = folded.select(*about, "n", "f.cur.doc_id", "f.cur.tie", "f.cur.occ", "f.cur.size", "f.cur.p")
-        most, level = -(-most // LEAF), level + 1
+        most, left, level = -(-most // LEAF), left // LEAF + n_sources, level + 1
     last = (F.xxhash64("doc_id", "tie", "occ", F.lit(seed), F.lit(-1)).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
     out = units.select(*about, "doc_id", "tie", "occ", "size", F.when(last < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     for x in settled:
         out = out.unionByName(x)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0))
-    return out.select(F.col("doc_id").alias(key), F.col("source").alias(source) if source != key else F.col("source"), "tie", "occ", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    out = out.select(F.col("doc_id").alias(key), F.col("source").alias(source) if source != key else F.col("source"), "tie", "occ", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out, n_rows
 
 
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **kwargs) -> DataFrame:
@@ -161,9 +168,10 @@ def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     are numbered within the parts of the input, which the parts before shift, so that very many of them are split.
     """
     columns = ["_key", "_source", "_tie"]
-    plan = cut_lineage(mix(df, key, text, source, **kwargs).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("tie").alias("_tie"), "size", "copies"))
+    mixed, n_rows = _mixed(df, key, text, source, **kwargs)
+    plan = cut_lineage(mixed.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("tie").alias("_tie"), "size", "copies"), n_rows)
     usual = plan.where("size > 0").groupBy("_source", "copies").count().groupBy("_source").agg(F.max_by("copies", F.struct("count", -F.col("copies"))).alias("usual"))
-    usual = cut_lineage(usual)
+    usual = cut_lineage(usual, n_rows)
     n = usual.count()
 
     def with_usual(rows: DataFrame, words: Column) -> DataFrame:
@@ -172,9 +180,9 @@ def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
         return rows.join(side, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("usual", F.when(words, F.coalesce("usual", F.lit(-1))).otherwise(F.lit(0)))
 
     groups = with_usual(plan, F.col("size") > 0).groupBy(*columns).agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("least"), F.sum("copies").alias("taken"), F.max(F.col("copies") != F.col("usual")).alias("odd"))
-    odd = cut_lineage(groups.where("odd").drop("odd"))
+    odd = cut_lineage(groups.where("odd").drop("odd"), n_rows)
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.xxhash64(text).alias("_tie"), F.coalesce(F.col(text).rlike(WORDS), F.lit(False)).alias("_words"))
-    rows = with_membership(with_usual(rows, F.col("_words")), key_filter(odd, columns), columns, "_moves").withColumn("_part", F.spark_partition_id())
+    rows = with_membership(with_usual(rows, F.col("_words")), key_filter(odd, columns, n_rows), columns, "_moves").withColumn("_part", F.spark_partition_id())
     moved = rows.where("_moves")
     # Of m equal rows the first get one copy more than the others, so that all copies of the mix are given out.
     a, b = moved.alias("a"), odd.alias("b")

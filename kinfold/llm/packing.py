@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from kinfold.llm._text import slices
 from kinfold.plans.runtime import table
 
 WINDOW, END = 1024, 0
@@ -210,7 +211,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
                 names.append("ids")
             return pa.RecordBatch.from_arrays([pa.array([seen[r[0]] for r in rows], arrow), *cols], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[n] = k
                 rows += packer.add(n, np.append(encode(x or "").astype(np.uint32), np.uint32(END)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm._learn import held_out, sample_classes
-from kinfold.llm._text import chunks, mix, texts_as_bytes, word_hashes
+from kinfold.llm._text import chunks, mix, slices, texts_as_bytes, word_hashes
 from kinfold.plans.runtime import table
 
 BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 6
@@ -297,9 +297,9 @@ def keep_accepted(df: DataFrame, model: dict, text: str = "text", lang: str = "l
     """The rows of ``df`` that are not rejected, with all their columns; nothing is shuffled."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_as_bytes(batch.column(batch.schema.get_field_index(text)))
-            parts = [logits(model, texts[a:b]) for a, b in chunks(texts, 1 << 19)]
+            parts = [logits(model, texts[a:b]) for a, b in chunks(texts, 1 << 17)]
             score = 1 / (1 + np.exp(-np.clip(np.concatenate(parts) if parts else np.zeros(0), -30, 30)))
             cut = np.array([model["thresholds"].get(str(x), model["threshold"]) for x in batch.column(batch.schema.get_field_index(lang)).to_pylist()], np.float64)
             yield batch.filter(pa.array(score < cut))

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from kinfold.plans.runtime import cut_lineage
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, most: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Every round joins the fixed edge table with the checkpointed labels and then replaces each label
     by the label of that label, so that a path of length d needs about log2(d) rounds. Both inputs of
     every join are plain tables, so adaptive execution can split a hub's partition. Null ends, loops and
     repeated edges are ignored; no edges give no rows. The loop stops when no label changed and raises
-    if ``max_rounds`` do not suffice.
+    if ``max_rounds`` do not suffice. ``most``: about how many edges there are at most, if that is known.
     """
     one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    both = cut_lineage(one.union(one.select("b", "a")).distinct())
+    both = cut_lineage(one.union(one.select("b", "a")).distinct(), most and 2 * most, after=True)
     n = both.count()  # nodes are no more
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), n)
     for _ in range(max_rounds):

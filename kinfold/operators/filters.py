@@ -23,9 +23,9 @@ def _mask(columns: Sequence[str | Column]) -> Column:
     return bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
 
 
-def key_filter(keys: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
-    """(slot, bits) of all keys, computed once; no keys give an empty table."""
-    return cut_lineage(keys.select(_slot(columns).alias("slot"), _mask(columns).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")))
+def key_filter(keys: DataFrame, columns: Sequence[str | Column], rows: int | None = None) -> DataFrame:
+    """(slot, bits) of all keys, computed once; no keys give an empty table. ``rows``: about how many keys there are at most, if known."""
+    return cut_lineage(keys.select(_slot(columns).alias("slot"), _mask(columns).alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")), rows)
 
 
 def with_membership(df: DataFrame, held: DataFrame, columns: Sequence[str | Column], out: str) -> DataFrame:

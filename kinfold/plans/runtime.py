@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task and a file get at least where a table's size is known.
 ROWS_A_FILE = 1 << 14
+#: The same where a task does nothing but write.
+ROWS_WRITTEN = 1 << 17
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -28,15 +30,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, rows: int | None = None, after: bool = False) -> DataFrame:
     """Compute ``df`` once and keep it in the checkpoint folder, so that a lost executor costs no recomputation of its past.
 
     ``rows``: about how many its last stage reads and makes at most, if that is known. A small table then goes into few files: each costs
-    a request, and on a local file system a process that the executor starts. Large tables keep all their partitions.
+    a request, and on a local file system processes that the executor starts. Large tables keep all their partitions.
+    ``after``: ``rows`` is only what the last stage makes at most. It keeps its tasks, and the few rows move into few files.
     """
     ensure_checkpoint_dir(df.sparkSession)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        files = max(1, -(-rows // (ROWS_WRITTEN if after else ROWS_A_FILE)))
+        if not after:
+            df = df.coalesce(files)
+        elif files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     return df.checkpoint(eager=True)
 
 

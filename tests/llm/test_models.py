@@ -22,6 +22,19 @@ def corpus(spark, n=300, toxic=False):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
 
 
+def test_words_are_hashed_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(_text, "_powers", {})
+    texts = [b"some words of a text " * 100] * 2000
+    tracemalloc.start()
+    n = sum(len(_text.word_hashes(texts[a:b])[0]) for a, b in _text.chunks(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 5 * 100 * 2000
+    assert most < 32e6, most
+
+
 def test_words_by_brute_force():
     import re
 

@@ -61,3 +61,26 @@ def test_registry():
     names = list(registry.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize(("stage", "most"), [("ngram_jaccard_join", 1), ("mixing", 2)])
+def test_stages_leave_few_files_of_small_tables(spark, tmp_path, stage, most):
+    """Each file of a lineage cut is four processes of the executor's on a local file system; at most so many tables have one a shuffle partition."""
+    rows = [(i, " ".join(f"w{i // 3 if j < 90 else i}x{j}" for j in range(100)), "en", "abc"[i % 3], 0) for i in range(60)]
+    sc, named = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        kept = dict(corpus_pipeline.STAGES)[stage](spark, df, str(tmp_path)).collect()
+        files = len(list(tmp_path.rglob("part-*")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", named)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        if before:
+            sc._jsc.sc().setCheckpointDir(before.rsplit("/", 1)[0])
+    assert stage == "mixing" or {r.doc_id for r in kept} == {i for i in range(60) if i % 3 == 0}
+    assert kept
+    assert files < most * 40, files
