@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_A_FILE = 1 << 14
 #: The same where a task does nothing but write.
 ROWS_WRITTEN = 1 << 17
+#: Estimated bytes of a table beyond which the estimate tells nothing.
+MOST_BYTES = 1 << 62
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -36,6 +38,9 @@ def cut_lineage(df: DataFrame, rows: int | None = None, after: bool = False) ->
     ``rows``: about how many its last stage reads and makes at most, if that is known. A small table then goes into few files: each costs
     a request, and on a local file system processes that the executor starts. Large tables keep all their partitions.
     ``after``: ``rows`` is only what the last stage makes at most. It keeps its tasks, and the few rows move into few files.
+
+    A checkpoint keeps the size that was estimated for its plan, and of a join that is the product of both sides. Where loops join
+    checkpoints again and again, its digits double each time, until they fill the driver's memory; such a size is forgotten.
     """
     ensure_checkpoint_dir(df.sparkSession)
     if rows is not None:
@@ -44,7 +49,20 @@ def cut_lineage(df: DataFrame, rows: int | None = None, after: bool = False) ->
             df = df.coalesce(files)
         elif files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
             df = df.repartition(files)
-    return df.checkpoint(eager=True)
+    return without_huge_estimate(df.checkpoint(eager=True))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The size that the optimizer takes ``df`` to have."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def without_huge_estimate(kept: DataFrame) -> DataFrame:
+    """A checkpoint as it is, or without its estimated size if that is beyond ``MOST_BYTES``."""
+    if estimated_bytes(kept) < MOST_BYTES:
+        return kept
+    spark, plan = kept.sparkSession, kept._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

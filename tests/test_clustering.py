@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import clustering as k
+from kinfold.operators import components
 from kinfold.operators.classify import result
 from kinfold.operators.components import connected_components
+from kinfold.plans.runtime import cut_lineage
 
 
 def naive_components(edges):
@@ -50,6 +52,32 @@ def test_components_of_few_edges_leave_few_files(spark, tmp_path):
     assert files < 2 * 40, files
 
 
+def digits_of_size(df):
+    return len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_loops_of_checkpoints_do_not_grow_the_estimated_size(spark):
+    """The digits of a join's estimated size doubled in every round of the components and filled the driver's memory."""
+    kept = spark.range(4)
+    for _ in range(8):
+        kept = cut_lineage(kept.join(kept.toDF("other"), kept.id == F.col("other")).select("id"))
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 3] and digits_of_size(kept) < 60
+
+
+@pytest.mark.parametrize("most,kind", [(0, "long"), (0, "string"), (64, "long")])
+def test_components_by_contraction(spark, monkeypatch, most, kind):
+    """A path in no order, a star and many pairs, ended by one task or not; a path of n nodes takes far fewer rounds than nodes."""
+    monkeypatch.setattr(components, "ROWS_A_FILE", most)
+    ids = random.Random(3).sample(range(1000), 300)
+    edges = [*zip(ids, ids[1:]), *[(2000, 2001 + i) for i in range(60)], *[(3000 + 2 * i, 3001 + 2 * i) for i in range(40)]]
+    edges = [(f"{a:04d}", f"{b:04d}") for a, b in edges] if kind == "string" else edges
+    got = connected_components(spark.createDataFrame(edges, f"src {kind}, dst {kind}"), max_rounds=30)
+    assert {r.node: r.component for r in got.collect()} == naive_components(edges)
+    assert digits_of_size(got) < 60
+    with pytest.raises(RuntimeError, match="settle"):
+        connected_components(spark.createDataFrame(edges, f"src {kind}, dst {kind}"), max_rounds=1)
+
+
 def clusters_of(df):
     out = {}
     for r in df.collect():
