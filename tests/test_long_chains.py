@@ -6,7 +6,7 @@ import pytest
 
 from kinfold.plans import catalog
 
-QUERIES = ["cluster_ids_prefix"]
+QUERIES = ["cluster_ids_prefix", "transitive_closure"]
 N = 400
 
 
