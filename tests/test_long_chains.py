@@ -6,7 +6,7 @@ import pytest
 
 from kinfold.plans import catalog
 
-QUERIES = ["cluster_ids_prefix", "transitive_closure", "refined_closure", "consistent_clustering"]
+QUERIES = ["cluster_ids_prefix", "transitive_closure", "refined_closure", "consistent_clustering", "changed_clusters"]
 N = 400
 
 
