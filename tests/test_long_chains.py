@@ -6,7 +6,7 @@ import pytest
 
 from kinfold.plans import catalog
 
-QUERIES = ["cluster_ids_prefix", "transitive_closure", "refined_closure", "consistent_clustering", "changed_clusters", "cluster_ids_number", "cluster_sizes"]
+QUERIES = ["cluster_ids_prefix", "transitive_closure", "refined_closure", "consistent_clustering", "changed_clusters", "cluster_ids_number", "cluster_sizes", "cluster_split_events"]
 N = 400
 
 
