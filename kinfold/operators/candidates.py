@@ -17,11 +17,14 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from kinfold.operators.filters import key_filter, with_membership
-from kinfold.plans.runtime import cut_lineage, fresh
+from kinfold.plans.runtime import cut_lineage, fresh, setting
 
 DEFAULT_WINDOW = 10
 #: Characters of a key's last part by which rows are sorted; what follows moves only where it decides.
 HEAD = 64
+#: Characters of long texts that are ranked in one partition, and texts a partition by which their ranges are chosen: these go to the driver whole.
+CHARS_A_PART = 1 << 23
+TEXTS_A_RANGE = 10
 
 
 @dataclass(frozen=True)
@@ -58,11 +61,15 @@ def passes(keys: Sequence[SortingKey | Pass | tuple[SortingKey, int]], default_w
     return [k if isinstance(k, Pass) else Pass(*k) if isinstance(k, tuple) else Pass(k, default_window) for k in keys]
 
 
-def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank", keep: Sequence[str] | None = None) -> DataFrame:
-    """``df`` (or its columns ``keep``) with positions from 0 in the given order: range partitions are sorted apart and shifted by the sizes of those before."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank", keep: Sequence[str] | None = None, parts: int | None = None, sample: int | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with positions from 0 in the given order: range partitions are sorted apart and shifted by the sizes of those before.
+
+    ``parts``: their number; ``sample``: keys a partition that are sent to the driver to choose them (Spark takes up to three times as many).
+    """
+    dealt = (df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)).sortWithinPartitions(*order)
     placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    local = cut_lineage(placed.select(*(keep or df.columns), "_part", "_at"))
+    with setting(df.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", sample):
+        local = cut_lineage(placed.select(*(keep or df.columns), "_part", "_at"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = local.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
     # As many rows as there are partitions.
@@ -75,21 +82,23 @@ def key_rank(keyed: DataFrame) -> DataFrame:
     A key that ends in a long text is sorted by the first ``HEAD`` characters of it. Where different texts share these,
     one row of each text is fetched and these texts are ranked apart; copies of a text never move with it. Shorter texts
     precede all longer ones of the same beginning, and earlier parts of a key stay whole, so the order is that of whole keys.
+    Ranges of whole texts are few and chosen by few texts, as these are sent to the driver.
     """
     parts = keyed.schema["key"].dataType.fields
     if parts[-1].dataType != StringType():
         return global_rank(keyed, ["key", "id"], keep=["id"])
     last = F.col("key")[parts[-1].name]
     head = F.struct(*[F.col("key")[p.name].alias(p.name) for p in parts[:-1]], F.substring(last, 1, HEAD).alias("head"))
-    whole = keyed.select("id", "key", head.alias("head"), F.when(F.length(last) > HEAD, F.sha2(last, 256)).alias("digest"))
+    whole = keyed.select("id", "key", head.alias("head"), F.when(F.length(last) > HEAD, F.sha2(last, 256)).alias("digest"), F.length(last).alias("chars"))
     rows = cut_lineage(whole.drop("key"))
-    contents = cut_lineage(rows.where("digest is not null").groupBy("head", "digest").agg(F.min("id").alias("id")))
+    contents = cut_lineage(rows.where("digest is not null").groupBy("head", "digest").agg(F.min("id").alias("id"), F.max("chars").alias("chars")))
     shared = contents.groupBy("head").count().where("count > 1").select("head")
-    contested = cut_lineage(fresh(contents).join(shared, "head", "left_semi").select("head", "digest", "id"))
+    contested = cut_lineage(fresh(contents).join(shared, "head", "left_semi").select("head", "digest", "id", "chars"))
+    parts = -(-(contested.agg(F.sum("chars")).first()[0] or 1) // CHARS_A_PART)
     possible = with_membership(whole.where("digest is not null"), key_filter(contested, ["id"]), ["id"], "_possible").where("_possible")
-    texts = possible.select("head", "digest", "id", "key").join(fresh(contested), ["head", "digest", "id"], "left_semi")
+    texts = possible.select("head", "digest", "id", "key").join(fresh(contested.select("head", "digest", "id")), ["head", "digest", "id"], "left_semi")
     # Repeated rows of one id give a text several positions, of which one counts.
-    order = global_rank(texts, ["key"], "order", keep=["head", "digest"]).groupBy("head", "digest").agg(F.min("order").alias("order"))
+    order = global_rank(texts, ["key"], "order", keep=["head", "digest"], parts=parts, sample=TEXTS_A_RANGE).groupBy("head", "digest").agg(F.min("order").alias("order"))
     placed = rows.where("digest is not null").join(order, ["head", "digest"], "left").select("id", "head", F.coalesce("order", F.lit(0)).alias("order"))
     placed = placed.union(rows.where("digest is null").select("id", "head", F.lit(-1).cast("long")))
     return global_rank(placed, ["head", "order", "id"], keep=["id"])

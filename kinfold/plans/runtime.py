@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,19 @@ def without_huge_estimate(kept: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object | None) -> Iterator[None]:
+    """The session's setting ``key`` is ``value`` inside, and what it was afterwards; None changes nothing."""
+    was = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
