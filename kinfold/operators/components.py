@@ -20,8 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     In each round every node goes over to the first of itself and its neighbours, in an order drawn anew by a hash; edges
     between those are what is left. Whatever the graph's shape, a quarter of the nodes with edges goes in a round on
     average, so tables shrink geometrically and paths cost no more than stars. Once no more edges are left than one task
-    writes anyway, one task ends it. Then the nodes of each round, the last first, take over what the nodes they went to
-    have found. Both inputs of every join are plain tables or shuffled, so adaptive execution can split a hub's
+    writes anyway, one task ends it. The smallest ids go up with the nodes; then the nodes of each round, the last first,
+    take over what the nodes they went to have found, so that no table is dealt by component. Both inputs of every join are plain tables or shuffled, so adaptive execution can split a hub's
     partition. Null ends, loops and repeated edges are ignored; no edges give no rows. Raises if ``max_rounds`` do not
     suffice. ``most``: about how many edges there are at most, if that is known.
     """
@@ -30,22 +30,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     kind = both.schema["a"].dataType.simpleString()
     few = ROWS_A_FILE if kind in PLAIN and both.schema["b"].dataType.simpleString() == kind else 0
     n = nodes = both.count()  # nodes are no more
-    rounds = []
+    rounds, low = [], None
     while n > few:
         if len(rounds) == max_rounds:
             raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-        rounds.append(went := cut_lineage(_first_near(both, len(rounds)), n))
-        left, right = went.toDF("a", "ra"), went.toDF("b", "rb")
+        near = _first_near(both, len(rounds))
+        went = cut_lineage(near.withColumn("low", F.col("node")) if low is None else near.join(fresh(low), "node").select("node", "first", "low"), n)
+        low = went.groupBy(F.col("first").alias("node")).agg(F.min("low").alias("low"))
+        rounds.append((went, low))
+        left, right = went.select("node", "first").toDF("a", "ra"), went.select("node", "first").toDF("b", "rb")
         moved = both.join(left, "a").select("b", "ra").join(right, "b").where("ra <> rb")
         both = cut_lineage(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), n, after=True)
         n = both.count()
-    found = both.coalesce(1).mapInPandas(_joined, f"node {kind}, root {kind}") if few else both.toDF("node", "root")
-    for went in reversed(rounds):
-        on = fresh(found).toDF("first", "root")
-        found = went.join(on, "first", "left").select("node", F.coalesce("root", "first").alias("root"))
-    found = cut_lineage(found, nodes)
-    least = fresh(found).groupBy("root").agg(F.min("node").alias("component"))
-    return cut_lineage(found.join(least, "root").select("node", "component"), nodes)
+    ends = both.withColumn("low", F.col("a")) if low is None else both.join(fresh(low).toDF("a", "low"), "a").select("a", "b", "low")
+    found = ends.repartition(1).mapInPandas(_joined, f"node {kind}, component {kind}") if few else ends.select("a", "low").toDF("node", "component")
+    for went, low in reversed(rounds):
+        known = fresh(low).join(fresh(found), "node", "left").select("node", F.coalesce("component", "low").alias("component"))
+        found = went.join(fresh(known).toDF("first", "component"), "first").select("node", "component")
+    return cut_lineage(found, nodes)
 
 
 def _order(node: str, turn: int) -> Column:
@@ -59,8 +61,8 @@ def _first_near(both: DataFrame, turn: int) -> DataFrame:
 
 
 def _joined(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, root) of all edges (a, b)."""
-    parent: dict = {}
+    """(node, component) of all edges (a, b) with the smallest id ``low`` that a stands for."""
+    parent, low = {}, {}
 
     def root(x):
         while parent[x] != x:
@@ -68,9 +70,13 @@ def _joined(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+        for a, b, l in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["low"].tolist(), strict=True):
             parent.setdefault(a, a)
             parent.setdefault(b, b)
+            low[a] = l
             parent[root(b)] = root(a)
+    least: dict = {}
+    for x, l in low.items():
+        least[root(x)] = min(l, least.get(root(x), l))
     if parent:
-        yield pd.DataFrame({"node": list(parent), "root": [root(x) for x in parent]})
+        yield pd.DataFrame({"node": list(parent), "component": [least[root(x)] for x in parent]})
